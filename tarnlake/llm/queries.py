@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import mixing
+from tarnlake.llm import mixing, substring
 from tarnlake.llm.common import table
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.dedup(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("repeats")
 
 
-QUERIES = {f.__name__: f for f in (op7_mixing_sources,)}
+QUERIES = {f.__name__: f for f in (op6_suffix_array_dedup, op7_mixing_sources)}
 ORACLE_SQL: dict[str, str] = {}
