@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import mixing, substring
+from tarnlake.llm import mixing, quality, substring
 from tarnlake.llm.common import table
 
 
@@ -17,5 +17,10 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("repeats")
 
 
-QUERIES = {f.__name__: f for f in (op6_suffix_array_dedup, op7_mixing_sources)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op6_suffix_array_dedup, op7_mixing_sources, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
