@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import mixing, quality, substring
+from tarnlake.llm import html_text, mixing, quality, substring
 from tarnlake.llm.common import table
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("row.page_id", "row.url", "text", "n_chars")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.dedup(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -22,5 +27,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op6_suffix_array_dedup, op7_mixing_sources, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op3_html_extraction, op6_suffix_array_dedup, op7_mixing_sources, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
