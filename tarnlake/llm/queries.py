@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import html_text, mixing, quality, substring
-from tarnlake.llm.common import table
+from tarnlake.llm import html_text, mixing, quality, substring, warc
+from tarnlake.llm.common import scratch_path, table
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archive(spark, path)
+    return found.select(warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("refers_to").alias("refers_to"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +34,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_html_extraction, op6_suffix_array_dedup, op7_mixing_sources, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_html_extraction, op6_suffix_array_dedup, op7_mixing_sources, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
