@@ -227,7 +227,7 @@ class WarcReader(DataSourceReader):
                 room = self.group
             groups[-1].append(f.path)
             room -= f.size
-        return [Files(tuple(g)) for g in groups]
+        return [Files(tuple(g)) for g in groups] or [Files(())]
 
     def _records(self, stream, name: str) -> Iterator[list]:
         at, with_payload = 0, "payload" in self.names
