@@ -8,8 +8,10 @@ repeated windows. The sort runs most significant digit first, and a suffix leave
   have equal minimizers at equal offsets, so no equal windows are parted.
 * Digit 2 is the hash of the bundle's whole text. Bundles that agree in both digits hold the same windows in the same
   order; all but the first occurrence are removed, and none goes on.
-* Bundles alone under their minimizer are unique and drop out. Where different bundles share one, their windows are
-  sorted singly by the last digits, two independent 64-bit hashes of all their bytes.
+* Bundles alone under their minimizer are unique and drop out. Where different bundles share one, they are cut into
+  blocks of up to BLOCK windows at fixed distances from the minimizer. Digit 3 is the hash of the bytes that all windows
+  of a block have in common, digit 4 that of all its text: unique and equal blocks leave as bundles do.
+* The last digit is the hash of the single window, inside the blocks that still differ.
 
 Only bundles of the last kind need their text again. What repeats inside an Arrow batch is settled there before any
 shuffle, so a text copied into every document costs one row per batch.
@@ -32,9 +34,10 @@ from tarnlake.llm.common import materialize
 #: Bytes that one pass of the hashing handles; places in it fit POS_BITS.
 POS_BITS = 20
 PIECE = 1 << POS_BITS
-#: Layout of a place: text fingerprint, start, windows in the bundle.
-FP_BITS, COUNT_BITS = 18, 7
+#: Layout of a place: text fingerprint, start of the first window, windows, distance from it to the minimizer.
+FP_BITS, START_BITS, COUNT_BITS, OFF_BITS = 18, 30, 7, 7
 LAST_ID = (1 << 63) - 1
+BLOCK = 16
 ROWS = "dkey long, a long, b long, place long"
 
 
@@ -86,10 +89,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def bundles(data: np.ndarray, segments: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """segments: (start, end) rows in data, which windows don't cross. Returns first window, windows, minimizer hash and text hash of each bundle."""
+    """segments: (start, end) rows in data, which windows don't cross. Returns first window, windows, distance to the minimizer, minimizer hash and text hash of each bundle."""
     n, w = len(data), length - gram + 1
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     roll = rollers()[0]
     prefix = roll.prefix(data)
     at = np.arange(n - gram + 1)
@@ -105,7 +108,12 @@ def bundles(data: np.ndarray, segments: np.ndarray, length: int, gram: int) -> t
     new = np.flatnonzero(np.diff(place, prepend=-1) != 0)
     start, count = windows[new], np.diff(np.append(new, len(windows)))
     text = roll.spans(prefix, start, start + count + length - 1)
-    return start, count, grams[place[new]], mix(text ^ (place[new] - start).astype(np.uint64) ^ (count.astype(np.uint64) << np.uint64(32)))
+    off = place[new] - start
+    return start, count, off, grams[place[new]], shaped(text, off, count)
+
+
+def shaped(text: np.ndarray, off: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return mix(text ^ off.astype(np.uint64) ^ (count.astype(np.uint64) << np.uint64(32)))
 
 
 def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,20 +138,23 @@ def range_rows(dkey: np.ndarray, fp: np.ndarray, start: np.ndarray, end: np.ndar
     return dkey, mix(dkey.astype(np.uint64) * np.uint64(3) ^ b.astype(np.uint64)).view(np.int64), b, -1 - fp
 
 
-def as_batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    names = ("dkey", "a", "b", "place")
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i].astype(np.int64, copy=False) for p in parts])) for i in range(4)], names=list(names))
+def as_batch(parts: list[tuple[np.ndarray, ...]], windows: pa.Array | None) -> pa.RecordBatch:
+    columns = {name: pa.array(np.concatenate([p[i].astype(np.int64, copy=False) for p in parts])) for i, name in enumerate(("dkey", "a", "b", "place"))}
+    if windows is not None:
+        columns["w"] = pa.concat_arrays([windows, pa.nulls(len(columns["a"]) - len(windows), windows.type)])
+    return pa.RecordBatch.from_pydict(columns)
 
 
-def settle(dkey: np.ndarray, fp: np.ndarray, owner: np.ndarray, start: np.ndarray, count: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> pa.RecordBatch:
-    """Of the entries of a batch that agree in both digits the first goes on; the others are removed."""
+def settle(dkey: np.ndarray, fp: np.ndarray, found: list[list[np.ndarray]], length: int, windows: pa.Array | None = None) -> pa.RecordBatch:
+    """found: owner, start, count, off, a, b. Of the entries of a batch that agree in a and b the first goes on; the others are removed."""
+    owner, start, count, off, a, b = map(np.concatenate, found)
     order = np.lexsort((start, owner, b, a))
     again = np.zeros(len(order), bool)
     again[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
     first, rest = order[~again], order[again]
     o, s, e = merged(owner[rest], start[rest], start[rest] + count[rest] + length - 1)
-    place = (fp[owner[first]] << (63 - FP_BITS - 1)) | (start[first] << COUNT_BITS) | count[first]
-    return as_batch([(dkey[owner[first]], a[first].view(np.int64), b[first].view(np.int64), place), range_rows(dkey[o], fp[o], s, e)])
+    place = (((fp[owner[first]] << START_BITS | start[first]) << COUNT_BITS | count[first]) << OFF_BITS) | off[first]
+    return as_batch([(dkey[owner[first]], a[first].view(np.int64), b[first].view(np.int64), place), range_rows(dkey[o], fp[o], s, e)], windows and windows.take(pa.array(first)))
 
 
 def anchor_batches(length: int, gram: int):
@@ -152,7 +163,7 @@ def anchor_batches(length: int, gram: int):
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)], axis=1)
             keys, first = np.unique(keys, axis=0, return_index=True)  # in order; repeated rows are one document
             texts = text_bytes(batch.column(2).take(pa.array(first)))
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
+            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
             piece, size = [], 0
 
             def flush() -> None:
@@ -161,10 +172,10 @@ def anchor_batches(length: int, gram: int):
                     data = np.frombuffer(b"".join(x for x, _, _ in piece), np.uint8)
                     ends = np.cumsum([len(x) for x, _, _ in piece])
                     starts = np.concatenate([[0], ends[:-1]])
-                    s, c, a, b = bundles(data, np.stack([starts, ends], axis=1), length, gram)
+                    s, *others = bundles(data, np.stack([starts, ends], axis=1), length, gram)
                     which = np.searchsorted(ends, s, side="right")
                     owner, base = (np.array([x[i] for x in piece], np.int64) for i in (1, 2))
-                    for out, x in zip(parts, (owner[which], s - starts[which] + base[which], c, a, b), strict=True):
+                    for out, x in zip(parts, (owner[which], s - starts[which] + base[which], *others), strict=True):
                         out.append(x)
                 piece, size = [], 0
 
@@ -179,33 +190,46 @@ def anchor_batches(length: int, gram: int):
                     size += len(cut)
             flush()
             if parts[0]:
-                owner, start, count, a, b = map(np.concatenate, parts)
-                yield settle(keys[:, 0], keys[:, 1], owner, start, count, a, b, length)
+                yield settle(keys[:, 0], keys[:, 1], parts, length)
 
     return run
 
 
-def window_batches(length: int):
-    """Each asked-for bundle as single windows with the last two digits."""
+def fields(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (place >> (COUNT_BITS + OFF_BITS)) & ((1 << START_BITS) - 1), (place >> OFF_BITS) & ((1 << COUNT_BITS) - 1), place & ((1 << OFF_BITS) - 1)
+
+
+def block_batches(length: int, many: int):
+    """Each asked-for bundle as blocks with digits 3 and 4, and the last digit of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)], axis=1)
             keys, first = np.unique(keys, axis=0, return_index=True)
             batch = batch.take(pa.array(first))
-            parts: list[list[np.ndarray]] = [[], [], [], []]
+            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            singles = []
             for i, (text, asked) in enumerate(zip(text_bytes(batch.column(2)), batch.column(4), strict=True)):
-                places = np.unique(asked.values.to_numpy())
-                start, count = (places >> COUNT_BITS) & ((1 << 30) - 1), places & ((1 << COUNT_BITS) - 1)
-                at = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                start, count, off = fields(np.unique(asked.values.to_numpy()))
+                which = np.repeat(np.arange(len(start)), count)
+                at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + start[which]
+                block = ((start + off)[which] - at) // many
+                new = np.flatnonzero(np.diff(which * 128 + block, prepend=-1) != 0)
                 low = int(at.min())
-                data = np.frombuffer(text, np.uint8)[low : int(at.max()) + length]
-                a, b = (r.spans(r.prefix(data), at - low, at - low + length) for r in rollers())
-                for out, x in zip(parts, (np.full(len(at), i), at, a, b), strict=True):
+                roll = rollers()[0]
+                prefix = roll.prefix(np.frombuffer(text, np.uint8)[low : int(at.max()) + length])
+                singles.append(rollers()[1].spans(rollers()[1].prefix(np.frombuffer(text, np.uint8)[low : int(at.max()) + length]), at - low, at - low + length))
+                n = np.diff(np.append(new, len(at)))
+                core = (start + off)[which[new]] - many * block[new]
+                away = (start + off)[which[new]] - at[new]
+                a = mix(roll.spans(prefix, core - low, core - many + 1 + length - low) ^ block[new].astype(np.uint64))
+                b = shaped(roll.spans(prefix, at[new] - low, at[new] - low + n + length - 1), away, n)
+                for out, x in zip(parts, (np.full(len(new), i), at[new], n, away, a, b), strict=True):
                     out.append(x)
-            if parts[0]:
-                owner, start, a, b = map(np.concatenate, parts)
-                yield settle(keys[:, 0], keys[:, 1], owner, start, np.ones(len(start), np.int64), a, b, length)
+            if singles:
+                offsets = np.concatenate([[0], np.cumsum(np.concatenate(parts[2]))]).astype(np.int32)
+                windows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(singles).view(np.int64)))
+                yield settle(keys[:, 0], keys[:, 1], parts, length, windows)
 
     return run
 
@@ -238,17 +262,22 @@ def kept_batches(with_text: bool):
     return run
 
 
-def _later(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """rows as ROWS, equal entries having equal a and b. Returns all removed ranges (dkey, fp, r), and the entries that
-    are the first of theirs while others share their a (dkey, fp, place)."""
+def _bits(place: str, low: int, many: int):
+    return F.shiftright(place, low).bitwiseAND((1 << many) - 1)
+
+
+def _digits(rows: DataFrame, length: int) -> DataFrame:
+    """One pass of the sort over rows as ROWS. Keeps what is removed (first false; r is its range) and the first
+    of each kind of entries if others share its a (first true)."""
     same = Window.partitionBy("a", "b").orderBy("dkey", "place")
     ranked = rows.repartition("a").withColumn("k", F.rank().over(same)).withColumn("n", F.sum((F.col("k") == 1).cast("int")).over(Window.partitionBy("a")))
-    start = F.shiftright("place", COUNT_BITS).bitwiseAND((1 << 30) - 1)
-    end = start + F.col("place").bitwiseAND((1 << COUNT_BITS) - 1) + (length - 1)
-    fp = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.shiftright("place", 63 - FP_BITS - 1))
-    r = F.when(F.col("place") < 0, F.col("b")).otherwise(F.shiftleft(start, 32).bitwiseOR(end))
-    kept = ranked.filter("place < 0 or k > 1 or n > 1").select("dkey", fp.alias("fp"), r.alias("r"), "place", ((F.col("place") >= 0) & (F.col("k") == 1)).alias("first"))
-    return kept.filter("not first").select("dkey", "fp", "r"), kept
+    start = _bits("place", COUNT_BITS + OFF_BITS, START_BITS)
+    end = start + _bits("place", OFF_BITS, COUNT_BITS) + (length - 1)
+    moved = F.col("place") < 0
+    fp = F.when(moved, -1 - F.col("place")).otherwise(F.shiftright("place", START_BITS + COUNT_BITS + OFF_BITS))
+    r = F.when(moved, F.col("b")).otherwise(F.shiftleft(start, 32).bitwiseOR(end))
+    kept = ranked.filter("place < 0 or k > 1 or n > 1")
+    return kept.select("a", "dkey", fp.alias("fp"), r.alias("r"), "place", *(c for c in rows.columns if c == "w"), (~moved & (F.col("k") == 1)).alias("first"))
 
 
 def dedup(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
@@ -267,13 +296,19 @@ def dedup(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFr
         raise ValueError("length: from 3 to 128")
     gram = max(1, min(32, length // 3))
     rest = [c for c in docs.columns if c != "text"]
-    fp = F.pmod(F.xxhash64("text"), F.lit(1 << FP_BITS)).cast("long")
+    fp = F.xxhash64("text").bitwiseAND((1 << FP_BITS) - 1)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("dkey"), fp.alias("fp"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("row"))
     found = base.select("dkey", "fp", "text").mapInArrow(anchor_batches(length, gram), ROWS)
-    settled = materialize(_later(found, length)[1], "substring")
+    settled = materialize(_digits(found, length).drop("a"), "substring")
     asked = settled.filter("first").groupBy("dkey", "fp").agg(F.collect_list("place").alias("asked"))
-    windows = base.join(asked.hint("shuffle_hash"), ["dkey", "fp"]).select("dkey", "fp", "text", "row", "asked").mapInArrow(window_batches(length), ROWS)
-    ranges = settled.filter("not first").select("dkey", "fp", "r").union(_later(windows, length)[0])
+    blocks = base.join(asked.hint("shuffle_hash"), ["dkey", "fp"]).select("dkey", "fp", "text", "row", "asked").mapInArrow(block_batches(length, min(BLOCK, length // 2)), ROWS + ", w array<long>")
+    settled_blocks = _digits(blocks, length)
+    # rows that aren't first have no windows to look at, only their range
+    looked_at = F.when(F.col("first"), F.col("w")).otherwise(F.array(F.lit(0).cast("long")))
+    windows = settled_blocks.select("a", "dkey", "fp", "r", "first", F.posexplode(looked_at).alias("i", "x")).withColumn("s", F.shiftright("r", 32) + F.col("i"))
+    later = windows.withColumn("k", F.rank().over(Window.partitionBy("a", "first", "x").orderBy("dkey", "fp", "s"))).filter("k > 1 or not first")
+    later = later.select("dkey", "fp", F.when(F.col("first"), F.shiftleft("s", 32).bitwiseOR(F.col("s") + length)).otherwise(F.col("r")).alias("r"))
+    ranges = settled.filter("not first").select("dkey", "fp", "r").union(later)
     gone = ranges.groupBy("dkey", "fp").agg(F.collect_list("r").alias("ranges"))
     out = T.StructType([T.StructField("row", base.schema["row"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept_text", T.StringType())] if with_text else [])])
     return base.join(gone.hint("shuffle_hash"), ["dkey", "fp"], "left").select("dkey", "fp", "text", "row", "ranges").mapInArrow(kept_batches(with_text), out)
