@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import html_text, mixing, quality, substring, warc
+from tarnlake.llm import html_text, mixing, ngram_join, quality, substring, warc
 from tarnlake.llm.common import scratch_path, table
 
 
@@ -29,10 +29,15 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("repeats")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.join(docs).select("doc_id", "class_id", "n_links", "kept")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_html_extraction, op6_suffix_array_dedup, op7_mixing_sources, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_html_extraction, op6_suffix_array_dedup, op7_mixing_sources, op8_ngram_jaccard_join, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
