@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import html_text, mixing, ngram_join, quality, substring, vector_dedup, warc
+from tarnlake.llm import html_text, mixing, ngram_join, quality, substring, vector_dedup, vector_search, warc
 from tarnlake.llm.common import scratch_path, table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.archive(table(spark, sf_dir, "pages"), path)
@@ -43,5 +47,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_html_extraction, op4_embedding_near_dedup, op6_suffix_array_dedup, op7_mixing_sources, op8_ngram_jaccard_join, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_warc, op3_html_extraction, op4_embedding_near_dedup, op6_suffix_array_dedup, op7_mixing_sources, op8_ngram_jaccard_join, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
