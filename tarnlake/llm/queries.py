@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import html_text, mixing, ngram_join, quality, substring, vector_dedup, vector_search, warc
+from tarnlake.llm import html_text, licenses, mixing, ngram_join, quality, substring, vector_dedup, vector_search, warc
 from tarnlake.llm.common import scratch_path, table
 
 
@@ -28,6 +28,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.dedup(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -47,5 +51,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_warc, op3_html_extraction, op4_embedding_near_dedup, op6_suffix_array_dedup, op7_mixing_sources, op8_ngram_jaccard_join, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_warc, op3_html_extraction, op4_embedding_near_dedup, op5_license_scan, op6_suffix_array_dedup, op7_mixing_sources, op8_ngram_jaccard_join, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
