@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import html_text, licenses, mixing, ngram_join, quality, substring, vector_dedup, vector_search, warc
+from tarnlake.llm import html_text, licenses, mixing, ngram_join, pieces, quality, substring, vector_dedup, vector_search, warc
 from tarnlake.llm.common import scratch_path, table
 
 
@@ -46,10 +46,15 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(docs).select("doc_id", "class_id", "n_links", "kept")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs).select("row.doc_id", "ids", "n_tokens", "round_trip")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("row.doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_warc, op3_html_extraction, op4_embedding_near_dedup, op5_license_scan, op6_suffix_array_dedup, op7_mixing_sources, op8_ngram_jaccard_join, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_warc, op3_html_extraction, op4_embedding_near_dedup, op5_license_scan, op6_suffix_array_dedup, op7_mixing_sources, op8_ngram_jaccard_join, op9_sentencepiece, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
