@@ -238,8 +238,9 @@ class Lattice:
                 for known, run in groupby(w, self.known.__contains__):
                     own += ["".join(run)] if known else list(run)
                 parts.update(dict.fromkeys(p for p in own if p[0] in self.known))
+        parts.pop("", None)
         units = list(parts)
-        encoded = {u: ids.tobytes() for u, ids in zip(units, self.fold(units), strict=True)}
+        encoded = {"": b""} | {u: ids.tobytes() for u, ids in zip(units, self.fold(units), strict=True)}
         for w, own in cuts.items():
             encoded[w] = b"".join(encoded[p] if p[0] in self.known else self._bytes(p) for p in own)
         return {w: encoded[w] for w in words}
