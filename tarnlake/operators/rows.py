@@ -21,14 +21,15 @@ def relative(column: Column) -> Column:
     return F.regexp_extract(column, rf"/(data/{BATCH}=.*)$", 1)
 
 
-def read_files(store: Store, spark: SparkSession, paths: Sequence[str], schema: T.StructType, addresses: bool = False) -> DataFrame:
-    """Rows of some files, partition columns from their folders. Narrower types in old files widen; columns that they lack are null."""
+def read_files(store: Store, spark: SparkSession, paths: Sequence[str], schema: T.StructType, addresses: bool = False, partitioned: bool = True) -> DataFrame:
+    """Rows of some files, partition columns from their folders (unless partitioned is false: then folders may differ in kind). Narrower types in old files widen; columns that they lack are null."""
     fields = [T.StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields]
     full = T.StructType([*fields, T.StructField(BATCH, T.StringType())])
     if not paths:
         df = spark.createDataFrame([], full).withColumns({PATH: F.lit(""), ROW: F.lit(0).cast("long")})
         return df.drop(BATCH) if addresses else df.select(*[F.col(f"`{f.name}`") for f in fields])
-    df = spark.read.schema(full).option("basePath", store.uri("data")).parquet(*map(store.uri, paths))
+    reader = spark.read.schema(full).option("basePath", store.uri("data")) if partitioned else spark.read.schema(T.StructType(fields)).option("recursiveFileLookup", "true")
+    df = reader.parquet(*map(store.uri, paths))
     names = [F.col(f"`{f.name}`") for f in fields]
     return df.select(*names, relative(F.col("_metadata.file_path")).alias(PATH), F.col("_metadata.row_index").alias(ROW)) if addresses else df.select(*names)
 
