@@ -112,7 +112,7 @@ def pred_type_mismatch_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("c_custkey", *tested(df, mismatch=col("c_name").gt(5), same=col("c_name").eq_null_safe(5)))
 
 
-@query("SELECT c.c_custkey, upper(c_mktsegment) AS seg, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'fine' END AS state, substring(c_name, 1, 4) AS head, length(c_name) AS n FROM customer c WHERE lower(c_mktsegment) LIKE 'b%' OR c_acctbal + 1 > 5000")
+@query("SELECT c.c_custkey, upper(c_mktsegment) AS seg, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'fine' END AS state, substring(c_name, 1, 4) AS head, length(c_name)::INTEGER AS n FROM customer c WHERE lower(c_mktsegment) LIKE 'b%' OR c_acctbal + 1 > 5000")
 def function_call_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer")
     rows = comp.apply(df, call("like", call("lower", col("c_mktsegment")), "b%") | call("add", col("c_acctbal"), 1).gt(5000))
@@ -120,7 +120,7 @@ def function_call_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", *[comp.expression(e, df.schema).alias(k) for k, e in shown.items()])
 
 
-@query("SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders WHERE year(o_orderdate) >= 1995")
+@query("SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, day(o_orderdate)::INTEGER AS d FROM orders WHERE year(o_orderdate) >= 1995")
 def function_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders")
     when = col("o_orderdate")
@@ -330,7 +330,7 @@ def schema_evolution_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read()
 
 
-@query("SELECT o_orderkey, year(o_orderdate) - 1970 AS y, (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS m, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS d, o_orderkey - o_orderkey % 100 AS t, substring(o_orderpriority, 1, 3) AS p FROM orders")
+@query("SELECT o_orderkey, (year(o_orderdate) - 1970)::INTEGER AS y, ((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1)::INTEGER AS m, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::INTEGER AS d, o_orderkey - o_orderkey % 100 AS t, substring(o_orderpriority, 1, 3) AS p FROM orders")
 def partition_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders")
     kinds = {f.name: f.dataType for f in df.schema.fields}
