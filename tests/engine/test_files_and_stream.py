@@ -44,3 +44,14 @@ def test_stream_is_exactly_once(spark, tmp_path):
     # a replay of the first batch, as after a lost checkpoint
     write_stream(spark.readStream.schema("id long").option("maxFilesPerTrigger", 100).parquet(source), t, "app", str(tmp_path / "cp2")).awaitTermination()
     assert t.latest_version() == v
+
+
+def test_inspect(spark, tmp_path, capsys):
+    from tarnlake.sources import avro, inspect
+
+    avro.write(spark.range(3), str(tmp_path / "a"), "snappy")
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "p"))
+    found = [str(next((tmp_path / d).glob(f"*.{e}"))) for d, e in (("a", "avro"), ("p", "parquet"))]
+    assert inspect.main(found) == 0 and inspect.main([]) == 2
+    out = capsys.readouterr().out
+    assert '"codec": "snappy"' in out and '"rows": 3' in out
