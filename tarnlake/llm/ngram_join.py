@@ -225,15 +225,11 @@ def join(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     near = near.select("u", "v", "a", "b").mapInArrow(similar_batches(threshold - SLACK), "u long, v long")
     clumps = components(near.union(ties))
 
-    own = Window.partitionBy("clump").orderBy("n", "node")
-    members = clumps.select("node", F.col("root").alias("clump")).join(classes.select("node", "first", "size", "n"), "node").withColumn("tile", F.floor((F.row_number().over(own) - 1) / TILE).cast("int"))
-    # tiles are ordered by set size, so only some tiles can hold partners of another
-    spans = members.groupBy("clump", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    ahead = spans.select("clump", F.col("tile").alias("other"), F.col("low").alias("low2"))
-    reach = spans.join(ahead, "clump").filter(f"other >= tile and high >= {threshold} * low2 - 1e-6").select("clump", "tile", "other")
-    reach = reach.union(reach.filter("tile <> other").select("clump", F.col("other").alias("tile"), F.col("tile").alias("other")))
-    others = reach.groupBy("clump", "tile").agg(F.collect_list("other").alias("others"))
-    members = members.join(others, ["clump", "tile"]).select("clump", "node", "size", "tile", "others", F.col("first.dkey").alias("dkey"), F.col("first.th").alias("th"))
+    found = clumps.select("node", F.col("root").alias("clump")).join(classes.select("node", "first", "size"), "node")
+    # a large clump is dealt over tiles by hash, so that no task takes it whole
+    tiles = clumps.groupBy(F.col("root").alias("clump")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    members = found.join(tiles, "clump").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int"))
+    members = members.select("clump", "node", "size", "tile", F.sequence(F.lit(0), F.col("tiles") - 1).alias("others"), F.col("first.dkey").alias("dkey"), F.col("first.th").alias("th"))
     texts = base.select("dkey", "th", "text").join(members.hint("shuffle_hash"), ["dkey", "th"])
     sets = texts.select("text", "clump", "node", "size", "tile", "others").mapInArrow(set_batches(size), "clump long, node long, size long, tile int, others array<int>, hashes binary")
     tiled = sets.select("*", F.explode("others").alias("other")).select("clump", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "node", "size", "tile", "hashes")
