@@ -487,6 +487,8 @@ class LogTable:
         if set(df.columns) != set(s.schema.fieldNames()):
             raise ValueError(f"columns {df.columns} don't match {s.schema.fieldNames()}")
         adds = self._write_files(s, df)
+        if schema_actions:
+            self.store.delete("_stage")
         removes = [self._remove(a) for a in s.files.values()] if mode == "overwrite" else []
         actions = [*schema_actions, *removes, *({"add": a} for a in adds), *self._tracking(s)]
         if txn:
