@@ -20,7 +20,7 @@ NOTICES = {
     "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "CC0-1.0": ["Licensed under CC0 1.0.", "To the extent possible under law, <the author> has waived all copyright and related or neighboring rights to this work."],
-    "Proprietary": ["Copyright <year and holder> All rights reserved."],
+    "Proprietary": ["All rights reserved.", "Copyright <year and holder> All rights reserved."],
 }
 
 #: GNU licenses by name, in the versions that there are.

@@ -24,7 +24,7 @@ LEVEL = 12
 #: Templates whose wording is compared, in order of bytes saved, and the share of a template's words that must be there.
 CONTENDERS, COVERAGE = 6, 0.85
 # What a line must hold to start a block.
-SIGNS = ("licen", "copyright", "©", "spdx", "warrant", "permission", "redistribut", "public domain", "creative commons")
+SIGNS = ("licen", "copyright", "©", "rights reserved", "spdx", "warrant", "permission", "redistribut", "public domain", "creative commons")
 SENTENCE = re.compile(r"(?<=[.;!?])\s+")
 LONG_LINE = 300
 WORD = re.compile(r"<[^>]*>|[a-z0-9]+(?:[.'\-/][a-z0-9]+)*")

@@ -14,6 +14,15 @@ def test_every_wording_is_its_own():
         assert [(f[2], f[4]) for f in got if f[2] != "Proprietary"] == [(name, ())] or name == "Proprietary", (name, got)
 
 
+def test_rights_reserved():
+    line = "All rights reserved."
+    for text in NOTICES["Proprietary"]:
+        assert names("Some prose first.\n" + text + "\nAnd some prose after it all.") == [("Proprietary", True)]
+    (only,) = findings("Some prose first.\n" + line + "\nAnd some prose after it all.")
+    assert only[:2] == (18, 18 + len(line))
+    assert names("Copyright 2020 A. Holder. All rights reserved.") == [("Proprietary", True)]
+
+
 @pytest.mark.parametrize("text", [None, "", "no sign here", "the permission slip and the warranty of a car were lost", "a licensed doctor under the old bridge", "x" * 200_000])
 def test_clean_texts(text):
     assert names(text) == []
