@@ -1,13 +1,14 @@
 """License scans by conditional compression.
 
 Blocks of lines that speak of licenses are compressed once alone and once with each template as zstandard's raw
-dictionary. The templates that save most bytes are the likely wordings; the winner is confirmed by its exact word
-differences from the block.
+dictionary. The templates that save bytes are the likely wordings, those that save most first; the winner is confirmed
+by its exact word differences from the block.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from tarnlake.llm.license_texts import templates
 
 LEVEL = 12
-#: Templates whose wording is compared, in order of bytes saved, and the share of a template's words that must be there.
-CONTENDERS, COVERAGE = 6, 0.85
+#: The share of a template's words that must be there; templates of so few words must be there as they are, as prose may hold the words apart.
+COVERAGE, COMMON = 0.85, 3
 # What a line must hold to start a block.
 SIGNS = ("licen", "copyright", "©", "rights reserved", "spdx", "warrant", "permission", "redistribut", "public domain", "creative commons")
 SENTENCE = re.compile(r"(?<=[.;!?])\s+")
@@ -39,6 +40,7 @@ def words(text: str) -> list[str]:
 class Template:
     license: str
     words: list[str]
+    counts: Counter[str]
     needed: int
     packer: zstandard.ZstdCompressor
 
@@ -49,7 +51,7 @@ def known() -> tuple[list[Template], frozenset[str]]:
     for name, text in templates():
         data = zstandard.ZstdCompressionDict(" ".join(text.lower().split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         own = words(text)
-        out.append(Template(name, own, sum(w[0] != "<" for w in own), zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False)))
+        out.append(Template(name, own, Counter(own), sum(w[0] != "<" for w in own), zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False)))
     return out, frozenset(w for t in out for w in t.words)
 
 
@@ -128,11 +130,16 @@ def classify(block: str) -> tuple[str, int, tuple[str, ...]] | None:
     data = " ".join(block.lower().split()).encode("utf-8", "surrogatepass")
     alone = len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(data))
     saved = sorted(((alone - len(t.packer.compress(data)), -k) for k, t in enumerate(known()[0])), reverse=True)
-    best = None
-    for bytes_, k in saved[:CONTENDERS]:
+    best, there = None, Counter(own)
+    for bytes_, k in saved:
         template = known()[0][-k]
+        # what no order of the words can reach isn't compared
+        if bytes_ <= 0 or (there & template.counts).total() < COVERAGE * template.needed:
+            continue
         shared, changes = differences(template, own)
-        if bytes_ > 0 and shared >= COVERAGE * template.needed and (best is None or (len(changes), -shared) < best[0]):
+        if template.needed <= COMMON and changes:
+            continue
+        if shared >= COVERAGE * template.needed and (best is None or (len(changes), -shared) < best[0]):
             best = (len(changes), -shared), template.license, bytes_, tuple(changes)
     return best and best[1:]
 

@@ -23,6 +23,12 @@ def test_rights_reserved():
     assert names("Copyright 2020 A. Holder. All rights reserved.") == [("Proprietary", True)]
 
 
+def test_wordings_that_compress_worse_than_others():
+    assert [f[2] for f in findings("This software is licensed under the terms of the MIT License.")] == ["MIT"]
+    assert names("This program is free software; it is released under the MIT License.") == [("MIT", True)]
+    assert names("All the licensed doctors have rights and seats that are reserved.") == []
+
+
 @pytest.mark.parametrize("text", [None, "", "no sign here", "the permission slip and the warranty of a car were lost", "a licensed doctor under the old bridge", "x" * 200_000])
 def test_clean_texts(text):
     assert names(text) == []
