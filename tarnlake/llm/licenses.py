@@ -2,17 +2,19 @@
 
 Blocks of lines that speak of licenses are compressed once alone and once with each template as zstandard's raw
 dictionary. The templates that save bytes are the likely wordings, those that save most first; the winner is confirmed
-by its exact word differences from the block.
+by its exact word differences from the block, and what is left of the block is classified again.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import cache, lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -28,6 +30,7 @@ COVERAGE, COMMON = 0.85, 3
 SIGNS = ("licen", "copyright", "©", "rights reserved", "spdx", "warrant", "permission", "redistribut", "public domain", "creative commons")
 SENTENCE = re.compile(r"(?<=[.;!?])\s+")
 LONG_LINE = 300
+CLOSING = re.compile(r"[.,;:!?)\]\"']*")
 WORD = re.compile(r"<[^>]*>|[a-z0-9]+(?:[.'\-/][a-z0-9]+)*")
 OUT = "doc_id long, start long, end long, license string, saved int, exact boolean, differences array<string>"
 
@@ -74,11 +77,16 @@ def pieces(text: str) -> Iterator[tuple[int, int]]:
         at = end + 1
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of neighbouring pieces around one with a sign, as far as most of their words are license words."""
+def lowered(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):  # a character changed its length; keep offsets
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low
+
+
+def runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Runs of neighbouring pieces around one with a sign, as far as most of their words are license words."""
+    low = lowered(text)
     if not any(s in low for s in SIGNS):
         return
     vocabulary = known()[1]
@@ -99,62 +107,125 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         last = i
         while last + 1 < len(spans) and (signed[last + 1] or fits(last + 1)):
             last += 1
-        for k in range(first, last + 1):
-            yield spans[k]
-        if last > first:
-            yield spans[first][0], spans[last][1]
+        yield spans[first : last + 1]
 
 
-def differences(template: Template, own: list[str]) -> tuple[int, list[str]]:
-    """Words shared with the template, and what else differs between its first and last shared word."""
-    changes, shared = [], 0
-    codes = SequenceMatcher(None, template.words, own, autojunk=False).get_opcodes()
+def differences(template: Template, matcher: SequenceMatcher) -> tuple[list[int], int, list[str]]:
+    """Places of the words shared with the template, how many others differ from its first to its last word, and how.
+    Empty words are cut out."""
+    changes, shared, others = [], [], 0
+    matcher.set_seq1(template.words)
+    codes = matcher.get_opcodes()
     for k, (what, a, b, c, d) in enumerate(codes):
         if what == "equal":
-            shared += b - a
+            shared += range(c, d)
         elif what == "insert" and k in (0, len(codes) - 1):
             continue  # before or after the notice
         else:
-            old, new = [w for w in template.words[a:b] if w[0] != "<"], own[c:d]
+            if what == "replace" and k == 0:
+                c = max(c, d - (b - a))
+            elif what == "replace" and k == len(codes) - 1:
+                d = min(d, c + (b - a))
+            old, new = [w for w in template.words[a:b] if w[0] != "<"], [w for w in matcher.b[c:d] if w]
             if old or new and len(old) == b - a:
                 changes.append(f"{' '.join(old)} -> {' '.join(new)}")
-    return shared, changes
+                others += max(len(old), len(new))
+    return shared, others, changes
+
+
+class Match(NamedTuple):
+    """A confirmed template: bytes saved, differences, where its words start and the last one ends, words between them that aren't its own."""
+
+    license: str
+    saved: int
+    differences: tuple[str, ...]
+    at: tuple[int, ...]
+    end: int
+    between: int
+    needed: int
 
 
 @lru_cache(maxsize=20_000)
-def classify(block: str) -> tuple[str, int, tuple[str, ...]] | None:
-    """License, bytes saved and differences of the best confirmed template of a block."""
-    own = words(block)
-    if len(own) < 3:
-        return None
-    data = " ".join(block.lower().split()).encode("utf-8", "surrogatepass")
-    alone = len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(data))
-    saved = sorted(((alone - len(t.packer.compress(data)), -k) for k, t in enumerate(known()[0])), reverse=True)
-    best, there = None, Counter(own)
-    for bytes_, k in saved:
-        template = known()[0][-k]
+def classify(block: str) -> tuple[Match, ...]:
+    """Confirmed templates of a block. The one that shares most words, less those that differ, is first; its words are cut out, and so on with the rest."""
+    low = lowered(block)
+    spans = [m.span() for m in WORD.finditer(low)]
+    own, chars, out = [low[a:b] for a, b in spans], list(low), []
+    while True:
+        there = Counter(own)
         # what no order of the words can reach isn't compared
-        if bytes_ <= 0 or (there & template.counts).total() < COVERAGE * template.needed:
-            continue
-        shared, changes = differences(template, own)
-        if template.needed <= COMMON and changes:
-            continue
-        if shared >= COVERAGE * template.needed and (best is None or (len(changes), -shared) < best[0]):
-            best = (len(changes), -shared), template.license, bytes_, tuple(changes)
-    return best and best[1:]
+        able = [(k, t, most) for k, t in enumerate(known()[0]) if (most := (t.counts & there).total()) >= COVERAGE * t.needed]
+        if not able:
+            return tuple(out)
+        data = " ".join("".join(chars).split()).encode("utf-8", "surrogatepass")
+        alone = len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(data))
+        ranked = sorted(((alone - len(t.packer.compress(data)), -k, most, t) for k, t, most in able), key=lambda x: x[:2], reverse=True)
+        matcher, best = SequenceMatcher(None, [], own, autojunk=False), None
+        for saved, _, most, template in ranked:
+            if saved <= 0 or best and most < best[0][0]:
+                continue
+            shared, others, changes = differences(template, matcher)
+            if len(shared) < COVERAGE * template.needed or template.needed <= COMMON and changes:
+                continue
+            between = sum(map(bool, own[shared[0] : shared[-1] + 1])) - len(shared)
+            rank = len(shared) - others, -between
+            if best is None or rank > best[0]:
+                best = rank, template, saved, shared, changes, between
+        if best is None:
+            return tuple(out)
+        _, template, saved, shared, changes, between = best
+        n, same = len(shared), [shared]
+        if not changes and shared[-1] - shared[0] + 1 == n:  # the same words elsewhere are as good
+            wording, i = own[shared[0] : shared[0] + n], shared[0] + n
+            while i <= len(own) - n:
+                if own[i] == wording[0] and own[i : i + n] == wording:
+                    same.append(list(range(i, i + n)))
+                    i += n
+                else:
+                    i += 1
+        for places in same:
+            out.append(Match(template.license, saved, tuple(changes), tuple(spans[i][0] for i in places), spans[places[-1]][1], between, template.needed))
+            for i in places:
+                a, b = spans[i]
+                own[i], chars[a:b] = "", " " * (b - a)
 
 
 def findings(text: str | None) -> list[tuple[int, int, str, int, tuple[str, ...]]]:
-    """Confirmed blocks: start, end, license, saved, differences. A run of lines replaces its lines where it confirms as well."""
+    """Confirmed notices in order: start, end, license, saved, differences.
+
+    A notice of a run of lines replaces those of its lines whose words it holds with more of its own. A notice spans its
+    whole lines, or its words where a line holds another; a run that holds one wrapped notice only is its span.
+    """
+
+    def placed(start: int, end: int) -> list[Match]:
+        return [m._replace(at=tuple(start + p for p in m.at), end=start + m.end) for m in classify(text[start:end])]
+
     out = []
-    for start, end in blocks(text or ""):
-        if found := classify(text[start:end]):
-            inside = [o for o in out if o[0] >= start and o[1] <= end]
-            if inside and (len(inside) > 1 or len(found[2]) > len(inside[0][4]) or found[1] <= inside[0][3]):
-                continue
-            out = [o for o in out if o not in inside]
-            out.append((start, end, *found))
-    return out
+    for spans in runs(text or ""):
+        kept = [m for span in spans for m in placed(*span)]
+        wrapped = []
+        if len(spans) > 1:
+            owner = {p: k for k, m in enumerate(kept) for p in m.at}
+            dropped = set()
+            for m in placed(spans[0][0], spans[-1][1]):
+                met = {owner[p] for p in m.at if p in owner}
+                if met and m.between <= len(m.at) > sum(len(kept[k].at) for k in met) and set(m.at).issuperset(p for k in met for p in kept[k].at):
+                    dropped |= met
+                    wrapped.append(m)
+                elif sum(p not in owner for p in m.at) >= COVERAGE * m.needed:
+                    wrapped.append(m)
+            kept = [m for k, m in enumerate(kept) if k not in dropped]
+        if len(wrapped) == 1 and not kept:
+            out.append((spans[0][0], spans[-1][1], *wrapped[0][:3]))
+            continue
+        starts, every = [a for a, _ in spans], kept + wrapped
+        lines = [sorted({bisect(starts, p) - 1 for p in m.at}) for m in every]
+        holds = Counter(i for own in lines for i in own)
+        for m, own in zip(every, lines, strict=True):
+            start = spans[own[0]][0] if holds[own[0]] == 1 else m.at[0]
+            end = spans[own[-1]][1] if holds[own[-1]] == 1 else CLOSING.match(text, m.end).end()
+            out.append((start, end, *m[:3]))
+    return sorted(out, key=lambda o: o[:2])
 
 
 def scan(docs: DataFrame) -> DataFrame:

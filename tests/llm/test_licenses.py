@@ -29,6 +29,27 @@ def test_wordings_that_compress_worse_than_others():
     assert names("All the licensed doctors have rights and seats that are reserved.") == []
 
 
+def wrap(text, every=9):
+    own = text.split()
+    return "\n".join(" ".join(own[i : i + every]) for i in range(0, len(own), every))
+
+
+def test_notices_side_by_side():
+    mit, bsd, apache = NOTICES["MIT"][2], NOTICES["BSD-2-Clause"][0], NOTICES["Apache-2.0"][0]
+    assert names(wrap(mit) + "\n\n" + wrap(bsd)) == [("MIT", True), ("BSD-2-Clause", True)]
+    text = f"{apache}\n{wrap(mit)}"
+    assert [(text[f[0] : f[1]], *f[2::2]) for f in findings(text)] == [(apache, "Apache-2.0", ()), (wrap(mit), "MIT", ())]
+    assert names(f"{apache}\nLicensed under CC BY 4.0.\n{wrap(mit)}") == [("Apache-2.0", True), ("CC-BY-4.0", True), ("MIT", True)]
+    assert [f[2::2] for f in findings(f"{apache}\n" + wrap(mit.replace("free of charge", "free of any charge")))] == [("Apache-2.0", ()), ("MIT", (" -> any",))]
+    # two in a line, and the same one twice
+    text = "Released under the MIT License. Licensed under CC BY 4.0."
+    assert [(text[f[0] : f[1]], f[2]) for f in findings(text)] == [("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY-4.0")]
+    assert names("Released under the MIT License.\n" * 3) == [("MIT", True)] * 3
+    # a line that a wrapped notice starts with is part of it
+    assert names(wrap(NOTICES["Apache-2.0"][1])) == names(wrap(NOTICES["Apache-2.0"][1], 7)) == [("Apache-2.0", True)]
+    assert names("Licensed under the GNU General Public License, version\n3.") == [("GPL-3.0", True)]
+
+
 @pytest.mark.parametrize("text", [None, "", "no sign here", "the permission slip and the warranty of a car were lost", "a licensed doctor under the old bridge", "x" * 200_000])
 def test_clean_texts(text):
     assert names(text) == []
