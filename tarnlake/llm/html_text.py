@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Blocks of text pass points for their length and commas to the containers above them, link-heavy containers are
-discounted, and the best container is kept with those siblings that read like it. Menus, headers, footers and the like
-are known by element, role or class and never scored.
+discounted, and the best container is kept: the whole of the outermost article or main element around it, or else with
+those siblings that read like it. Menus, headers, footers and the like are known by element, role or class and never scored.
 """
 
 from __future__ import annotations
@@ -218,7 +218,7 @@ def _select(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> list[str]:
     best = max(range(len(nodes)), key=lambda i: (value(nodes[i]), -i))
     most, top, k = value(nodes[best]), best, best
     while k > 0:
-        if nodes[k].tag == "article":
+        if nodes[k].tag in ("article", "main"):
             top = k
         k = nodes[k].parent
     roots = {top}
@@ -228,8 +228,9 @@ def _select(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> list[str]:
                 density = n.links / n.chars
                 if n.tag in ("h1", "h2") and i < top or value(n) >= max(10, 0.2 * most) and n.tag not in ("ul", "ol") or n.tag == "p" and (n.chars > 80 and density < 0.25):
                     roots.add(i)
-    # inside, lists of links and the header's small print go
-    dropped = {i for i, n in enumerate(nodes) if i not in roots and n.tag in ("ul", "ol", "div", "section", "table") and n.chars and n.links / n.chars > 0.66}
+    # lists of links go, but not an article's own; the header's small print goes
+    whole = _within(nodes, {i for i, n in enumerate(nodes) if n.tag in ("article", "main")})
+    dropped = {i for i, n in enumerate(nodes) if i not in roots and not whole[i] and n.tag in ("ul", "ol", "div", "section", "table") and n.chars and n.links / n.chars > 0.66}
     kept, out = _within(nodes, roots), _within(nodes, dropped)
     header = _within(nodes, {i for i, n in enumerate(nodes) if n.tag == "header"})
     return [s for i, s, _ in blocks if kept[i] and not out[i] and (not header[i] or nodes[i].tag in HEADING)]

@@ -18,6 +18,18 @@ def test_no_article_element():
     assert main_text(html) == "\n\n".join(["Head", P.strip(), P.strip()])
 
 
+def test_whole_main_and_own_links():
+    long, links = " ".join((P * 2).split()), "<ul><li><a href=x>A source of this article</a><li><a href=y>Another source</a></ul>"
+    section = "<section>" + f"<p>{long}</p>" * 10 + "</section>"
+    html = f"<body><nav>Menu</nav><main>{section}<section><h2>Sub</h2><p>{long}</p></section><h2>End</h2><p>Short one.</p><div class=related>{links}</div></main><div><a>Imprint</a></div>"
+    assert main_text(html) == "\n\n".join([long] * 10 + ["Sub", long, "End", "Short one."])
+    sources = ["Sources", "A source of this article", "Another source"]
+    for tag in ("article", "main"):
+        assert main_text(f"<body><{tag}><p>{long}</p><h2>Sources</h2>{links}<nav>{links}</nav></{tag}>") == "\n\n".join([long, *sources])
+    # articles in one container that has no name
+    assert main_text(f"<body><div><article><p>{long}</p><h2>Sources</h2>{links}</article></div>") == "\n\n".join([long, *sources])
+
+
 def test_odd_input():
     assert main_text(None) == main_text("") == main_text("<p></p><script>x") == ""
     assert main_text("just text &am") == "just text &am"
