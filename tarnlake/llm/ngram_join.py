@@ -1,8 +1,9 @@
-"""Self-join on the Jaccard similarity of word n-gram sets: a MinHash LSH forest finds candidates, exact sets verify them.
+"""Self-join on the Jaccard similarity of word n-gram sets: banded MinHash LSH finds candidates, exact sets verify them.
 
-Documents with equal n-gram sets are one class, and only classes are joined. Each tree of the forest sorts the classes by
-a run of min-hashes; classes that agree in a prefix are candidates. Prefixes start at their full depth and are shortened until
-a pair at the threshold is found with the target recall. Candidates group into connected clumps, and every clump is
+Documents with equal n-gram sets are one class, and only classes are joined. Each band is a hash of a run of min-hashes;
+classes that agree in a band are candidates. The length of the bands is fixed beforehand: the longest with which a pair at
+the threshold is found with the target recall. This replaces an LSH forest, which would keep the min-hashes in sorted tries
+and shorten the matched prefixes as it goes. Candidates group into connected clumps, and every clump is
 verified exactly, in tiles of bounded size, so that a clump of any size is spread over tasks and no pair is ever a row.
 """
 
@@ -32,7 +33,7 @@ FEATURES = "doc_id long, dkey long, th long, node long, n long, keys array<long>
 
 
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Shorten prefixes until a pair at the threshold agrees in some tree with probability `recall`."""
+    """The most min-hashes to a band, up to depth, with which a pair at the threshold agrees in some band with probability `recall`."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
