@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnlake.llm.common import slices
+
 # Common short words of English, German, French and Spanish.
 COMMON_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were "
@@ -162,7 +164,7 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             s = model.value.score(np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
