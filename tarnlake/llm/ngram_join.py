@@ -1,9 +1,12 @@
-"""Self-join on the Jaccard similarity of word n-gram sets: banded MinHash LSH finds candidates, exact sets verify them.
+"""Self-join on the Jaccard similarity of word n-gram sets: a MinHash LSH forest finds candidates, exact sets verify them.
 
-Documents with equal n-gram sets are one class, and only classes are joined. Each band is a hash of a run of min-hashes;
-classes that agree in a band are candidates. The length of the bands is fixed beforehand: the longest with which a pair at
-the threshold is found with the target recall. This replaces an LSH forest, which would keep the min-hashes in sorted tries
-and shorten the matched prefixes as it goes. Candidates group into connected clumps, and every clump is
+Documents with equal n-gram sets are one class, and only classes are joined. Each class has a signature of min-hashes per tree. A tree is the
+sorted list of its signatures, which is a prefix trie laid out flat: classes that share a prefix are neighbours. The lists of all trees are
+sorted at once, by ranges, so that no prefix, however common, is bound to one task. A pair matches by the prefix that
+both have in common, and how long it must be is settled for each document: from the whole signature it is shortened until the
+least similar partner that a set of its size can have is found with the target recall (`depths`).
+
+Candidates whose sketches and sizes allow the threshold group into connected clumps, and every clump is
 verified exactly, in tiles of bounded size, so that a clump of any size is spread over tasks and no pair is ever a row.
 """
 
@@ -14,37 +17,53 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import materialize
+from tarnlake.llm.common import materialize, slices
 from tarnlake.llm.graph import components
+from tarnlake.llm.substring import rollers
 
 TREES, DEPTH = 48, 10
 RECALL = 0.9999
-#: Single bytes of min-hashes that estimate a similarity, and by how much (over six standard errors) an estimate may fall short.
-SKETCH, SLACK = 128, 0.25
-#: Members up to which all pairs of a prefix are looked at; in larger ones each is tied to the first.
+#: Single bytes of min-hashes that estimate a similarity, and by how much (over five standard errors at 0.8) an estimate may fall short.
+SKETCH, SLACK = 128, 0.2
+#: Members up to which all pairs of a root are looked at; in larger ones each is tied to the first of about its size.
 FEW = 32
+#: Members of one root that are held at once.
+HELD = 1 << 16
 TILE = 512
 LAST_ID = (1 << 63) - 1
-FEATURES = "doc_id long, dkey long, th long, node long, n long, keys array<long>, sketch binary"
+FEATURES = "doc_id long, dkey long, th long, node long, n long, heads array<long>, tails array<long>, sketch binary"
 
 
-def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The most min-hashes to a band, up to depth, with which a pair at the threshold agrees in some band with probability `recall`."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def prefix_length(similarity: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """The longest prefix, up to depth, with which a pair of that similarity agrees in some tree with probability `recall`."""
+    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
+@cache
+def depths(threshold: float, sizes: int = 256) -> np.ndarray:
+    """How long a prefix finds the partners of a set of 0, 1, 2, ... members; beyond the last entry it is that of the threshold.
+
+    A set of n members and one of m that share k have the similarity k / (n + m - k). The least of those that reach the
+    threshold is what the prefix must find."""
+    out = [DEPTH]
+    for n in range(1, sizes):
+        found = (k / (n + m - k) for m in range(1, int(n / threshold) + 2) for k in range(1, min(n, m) + 1) if k >= threshold * (n + m - k) - 1e-9)
+        out.append(prefix_length(min(found, default=1.0)))
+    return np.array([*out, prefix_length(threshold)])
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word of a text that has any, computed for all at once from prefix sums over its bytes."""
+    data = np.frombuffer(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"), np.uint8)
+    roll = rollers()[0]
+    prefix = roll.prefix(data)
+    gaps = np.flatnonzero(data == 32)
+    return roll.spans(prefix, np.concatenate([[0], gaps + 1]), np.append(gaps, len(data)))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,12 +77,11 @@ def multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(7).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None, size: int, words: WordHashes) -> np.ndarray:
+def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted hashes of the distinct runs of `size` lower-cased words; a shorter text is one run; none without words."""
-    found = (text or "").lower().split()
-    if not found:
+    if not text or text.isspace():
         return np.zeros(0, np.uint64)
-    h = np.array([words[w] for w in found], np.uint64)
+    h = word_hashes(text)
     k, by = min(size, len(h)), multipliers(size)
     total = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -72,31 +90,114 @@ def shingles(text: str | None, size: int, words: WordHashes) -> np.ndarray:
 
 
 def min_hashes(s: np.ndarray, n: int) -> np.ndarray:
-    by = multipliers(n)
-    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 512):
-        np.minimum(out, (s[at : at + 512, None] * by).min(axis=0), out=out)
-    return out
+    x, by = (s >> np.uint64(32)).astype(np.uint32), (multipliers(n) >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
+    out = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 256):
+        np.minimum(out, (x[at : at + 256, None] * by).min(axis=0), out=out)
+    return out.astype(np.uint64)
+
+
+def signature(m: np.ndarray, root: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per tree the first `root` min-hashes as one hash, and the others cut to equal shares of 63 bits, in order."""
+    m = mixed(m.reshape(TREES, DEPTH) + np.uint64(1))
+    heads = mixed((mixed(m[:, :root]) * multipliers(root)).sum(axis=1, dtype=np.uint64) + np.arange(TREES, dtype=np.uint64))
+    tails, bits = np.zeros(TREES, np.uint64), np.uint64(63 // max(1, DEPTH - root))
+    for k in range(root, DEPTH):
+        tails = (tails << bits) | (m[:, k] & ((np.uint64(1) << bits) - np.uint64(1)))
+    return heads.view(np.int64), tails.view(np.int64)
 
 
-def feature_batches(size: int, depth: int):
+def feature_batches(size: int, root: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        by = multipliers(depth)
-        for batch in batches:
-            node, n, keys, sketch = [], [], [], []
+        for batch in (part for whole in batches for part in slices(whole, 3)):
+            node, n, heads, tails, sketch = [], [], [], [], []
             for text in batch.column(3).to_pylist():
-                s = shingles(text, size, words)
+                s = shingles(text, size)
                 n.append(len(s))
                 if not len(s):
-                    node.append(None), keys.append(None), sketch.append(None)
+                    for out in (node, heads, tails, sketch):
+                        out.append(None)
                     continue
-                m = min_hashes(s, TREES * depth)
+                m = min_hashes(s, TREES * DEPTH)
                 node.append(int(np.bitwise_xor.reduce(mixed(s * np.uint64(5))).view(np.int64)) ^ len(s))
-                prefix = mixed((mixed(m.reshape(TREES, depth)) * by).sum(axis=1, dtype=np.uint64) + np.arange(TREES, dtype=np.uint64))
-                keys.append(prefix.view(np.int64))
+                for out, x in zip((heads, tails), signature(m, root), strict=True):
+                    out.append(x)
                 sketch.append((mixed(m[:SKETCH]) & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "dkey", "th", "node", "n", "keys", "sketch"])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(heads, longs), pa.array(tails, longs), pa.array(sketch, pa.binary())], names=["doc_id", "dkey", "th", "node", "n", "heads", "tails", "sketch"])
+
+    return run
+
+
+def trie_pairs(head: np.ndarray, tail: np.ndarray, node: np.ndarray, n: np.ndarray, threshold: float, root: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of neighbours under the roots of at most FEW members (which is all that head holds), whose common prefix is long enough for one of them."""
+    need, own = depths(threshold), 0
+    need = need[np.minimum(n, len(need) - 1)]
+    bits = 63 // max(1, DEPTH - root)
+    for k in range(1, min(FEW, len(head))):
+        i = np.flatnonzero(head[k:] == head[:-k])
+        if not len(i):
+            return
+        apart, own = tail[i] ^ tail[i + k], np.full(len(i), root)
+        for d in range(1, DEPTH - root + 1):
+            own += apart >> (bits * (DEPTH - root - d)) == 0
+        near = (own >= np.minimum(need[i], need[i + k])) & (np.minimum(n[i], n[i + k]) >= threshold * np.maximum(n[i], n[i + k]) - 1e-6)
+        yield node[i[near]], node[i[near] + k]
+
+
+def walk_batches(threshold: float, root: int):
+    """Rows come sorted by head and tail. Yields candidates (kind 0), ties that need no test (kind 1), and (kind 2) the head and
+    first member of the roots that a task may hold only a part of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        first, open_head, open_node = True, None, 0
+
+        def out(kind: int, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(v)], names=["kind", "u", "v"])
+
+        def part(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """A part of a root: its members are tied to the first that was seen."""
+            nonlocal open_head, open_node
+            if open_head != rows[0][0]:
+                open_head, open_node = rows[0][0], rows[2][0]
+                yield out(2, rows[0][:1], rows[2][:1])
+            yield out(1, rows[2], np.full(len(rows[2]), open_node))
+
+        def whole(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            head, tail, node, n = rows
+            starts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])) if len(head) else np.zeros(0, np.int64)
+            many = np.repeat(np.diff(np.append(starts, len(head))), np.diff(np.append(starts, len(head))))
+            few = (many > 1) & (many <= FEW)
+            for u, v in trie_pairs(head[few], tail[few], node[few], n[few], threshold, root):
+                yield out(0, u, v)
+            head, node, n = (x[many > FEW] for x in (head, node, n))
+            if len(head):  # by size: who is linked has only sizes in between that are near, too
+                by = np.lexsort((node, n, head))
+                head, node, n = head[by], node[by], n[by]
+                new = np.concatenate([[True], (head[1:] != head[:-1]) | (n[:-1] < threshold * n[1:] - 1e-6)])
+                yield out(1, node, node[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))])
+
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            if not len(held[0]):
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if first and last:
+                end = int(np.searchsorted(held[0], held[0][0], side="right"))
+                yield from part([x[:end] for x in held])
+                held, last, first = [x[end:] for x in held], last - end, False
+            if open_head is not None and last and held[0][0] == open_head:
+                end = int(np.searchsorted(held[0], held[0][0], side="right"))
+                yield from part([x[:end] for x in held])
+                held, last = [x[end:] for x in held], last - end
+            yield from whole([x[:last] for x in held])
+            held = [x[last:] for x in held]
+            if len(held[0]) > HELD:
+                yield from part(held)
+                held, first = [x[:0] for x in held], False
+        if len(held[0]):
+            yield from part(held)
 
     return run
 
@@ -116,11 +217,9 @@ def similar_batches(least: float):
 
 def set_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingles(t, size, words).tobytes() for t in part.column(0).to_pylist()]
+            for part in slices(batch, 0):
+                sets = [shingles(t, size).tobytes() for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.binary())], names=["clump", "node", "size", "tile", "others", "hashes"])
 
     return run
@@ -210,21 +309,22 @@ def join(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """
     text = F.col("text").cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("dkey"), F.xxhash64("text").alias("th"), text.alias("text"))
-    depth = prefix_length(threshold)
-    rows = materialize(base.mapInArrow(feature_batches(size, depth), FEATURES), "ngram-features")
-    classes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("dkey", "th")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    root = prefix_length(threshold)
+    rows = materialize(base.mapInArrow(feature_batches(size, root), FEATURES), "ngram-features")
+    same = [F.first(c).alias(c) for c in ("n", "heads", "tails", "sketch")]
+    classes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("dkey", "th")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("size"), *same)
     classes = materialize(classes, "ngram-classes")
 
-    entries = classes.select("node", F.explode("keys").alias("key")).repartition("key")
-    met = entries.withColumn("many", F.count("*").over(Window.partitionBy("key"))).withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("node"))).withColumn("head", F.min("node").over(Window.partitionBy("key"))).filter("many > 1")
-    ties = met.filter(f"many > {FEW} and k > 1").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    lists = met.filter(f"many <= {FEW}").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("l"))
-    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.lit(FEW)), lambda y: F.struct(x.alias("u"), y.alias("v")))))
-    few = lists.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    entries = classes.select(F.explode(F.arrays_zip("heads", "tails")).alias("e"), "node", "n").select("e.heads", "e.tails", "node", "n")
+    forest = entries.repartitionByRange("heads", "tails", "node").sortWithinPartitions("heads", "tails", "node")
+    walked = materialize(forest.mapInArrow(walk_batches(threshold, root), "kind int, u long, v long").distinct(), "ngram-candidates")
+    parted = walked.filter("kind = 2")
+    joints = parted.join(parted.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     sketches = classes.select("node", "sketch")
-    near = few.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
+    near = walked.filter("kind = 0").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    near = near.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
     near = near.select("u", "v", "a", "b").mapInArrow(similar_batches(threshold - SLACK), "u long, v long")
-    clumps = components(near.union(ties))
+    clumps = components(near.union(walked.filter("kind = 1").select("u", "v")).union(joints))
 
     found = clumps.select("node", F.col("root").alias("clump")).join(classes.select("node", "first", "size"), "node")
     # a large clump is dealt over tiles by hash, so that no task takes it whole
