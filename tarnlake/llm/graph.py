@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from tarnlake.llm.common import drop_path, scratch_path
 
 
+#: Parts over which the edges of one node are dealt.
+SALTS = 16
+
+
 def _toward_min(pairs: DataFrame) -> DataFrame:
-    """(u, v) rows with the smallest v of each u beside them. The minimum is combined map-side, so a hub costs one row per task; the join back is one that adaptive execution can split."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
+    """(u, v) rows with the smallest v of each u beside them. The minimum is combined map-side, so a hub costs one row per task; in
+    the join back its edges are dealt over SALTS keys."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), salts)
+    salted = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, ["u", "s"]).select("u", "v", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
