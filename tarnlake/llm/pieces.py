@@ -1,16 +1,20 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
-The lattice is relational and columnar: the distinct words of an Arrow batch are exploded into substrings no longer than the longest
-piece, the substrings are equi-joined to the piece table by hash, and the edges that match are grouped by word and folded
-position by position.
+A text is cut into units: a run of spaces with the word after it, a word that follows a line feed, a line feed. The distinct units of a chunk are
+found by hash, and only those that the worker's memo doesn't hold are encoded: all their substrings no longer than the longest
+piece are looked up by hash among the pieces, and the edges that match are folded position by position. This is done in numpy, in place;
+pieces_relational.py has the same lattice in Spark's own operators.
 
 For a unigram model the fold would be Viterbi's, taking the best sum of scores. The models here are BPE, whose scores
 are merge orders: the best sum is not what merging yields. What merging yields is the one path whose neighbours all stay
 apart when merged by themselves, so the fold keeps, for each end position, the edge that agrees with its predecessor in that sense.
+
+Hashes have 64 bits. Every encoded text is decoded again, and one that differs from its source is encoded anew without hashes of units.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import groupby
@@ -24,8 +28,11 @@ from pyspark.sql import types as T
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words kept encoded at most, and characters that one round of the lattice handles.
-MEMO, ROUND = 1 << 20, 1 << 19
+#: Units kept encoded at most (some 30 bytes each), characters that one round of the lattice handles, and those of a chunk of texts.
+MEMO, ROUND, CHUNK = 1 << 20, 1 << 17, 1 << 19
+#: Pairs of pieces that are remembered to agree.
+PAIRS = 1 << 16
+UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 #: Words longer than this are folded one by one, so that few long ones don't hold up a round.
 LONG = 40
 
@@ -35,6 +42,44 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of every row, one row after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class Memo:
+    """Ids of units by hash: sorted keys, and where the ids of each lie in a pool."""
+
+    def __init__(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.used, self.pool, self.now = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 where they aren't held."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def touch(self, places: np.ndarray) -> None:
+        self.now += 1
+        self.used[places] = self.now
+
+    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+        """New keys, sorted. If there are too many the half that was used longest ago goes, but none that was used this time."""
+        size = np.array([len(x) for x in ids], np.int32)
+        start = len(self.pool) + np.cumsum(size) - size
+        parts = (self.keys, keys), (self.start, start), (self.size, size), (self.used, np.full(len(keys), self.now, np.int32))
+        keys, start, size, used = map(np.concatenate, parts)
+        pool, by = np.concatenate([self.pool, *ids]), np.argsort(keys, kind="stable")
+        if len(keys) > MEMO:
+            by = by[used[by] >= min(self.now, int(np.median(used)) + 1)]
+        self.keys, self.start, self.size, self.used = keys[by], start[by], size[by], used[by]
+        if len(by) < len(keys):
+            pool, self.start = pool[ragged(self.start, self.size)], np.cumsum(self.size, dtype=np.int64) - self.size
+        self.pool = pool
+
+
 class Lattice:
     """The piece table of a model, and the fold."""
 
@@ -51,7 +96,9 @@ class Lattice:
             del table[p]  # runs of spaces are laid greedily beside the lattice
         self.table, self.unknown = table, sp.unk_id()
         self.known = frozenset(p for p in table if len(p) == 1)
-        self.output = [b"" if special[i] else bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
+        self.output = output = [b"" if special[i] else bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
+        self.out_size = np.array([len(x) for x in output], np.int64)
+        self.out_start, self.out_bytes = np.cumsum(self.out_size) - self.out_size, np.frombuffer(b"".join(output), np.uint8)
         # merge order: single characters are there from the start
         order = {p: (-1 if len(p) == 1 else -sp.get_score(i)) for p, i in table.items()}
         self.rank = np.full(n, -1.0)
@@ -72,8 +119,7 @@ class Lattice:
             if len(p) > 1 and (halves := self._halves(p)):
                 self.left[i], self.right[i] = halves
                 reachable.add(p)
-        self.powers = np.cumprod(np.full(ROUND + 64, 0x9E3779B97F4A7C15 | 1, np.uint64))
-        self.back = np.cumprod(np.full(ROUND + 64, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64), np.uint64))
+        self.powers, self.back = self._powers(max(ROUND, CHUNK) + 64)
         self.by_length = []
         for size in range(1, self.longest + 1):
             own = [p for p in reachable if len(p) == size]
@@ -83,11 +129,15 @@ class Lattice:
             seen = np.zeros(1 << 18, bool)
             seen[h >> np.uint64(46)] = True
             self.by_length.append((h[by], np.array([table[own[k]] for k in by], np.int64), seen))
-        self.spaced: dict[str, bytes] = {}  # words after a space
-        self.bare: dict[str, bytes] = {}  # words after a line feed
-        self.newline = self._bytes("\n")
+        self.newline, self.space = self._bytes("\n"), np.array([self.runs[1]], np.int32).tobytes()
+        self.memo = Memo()
         self.agreed: dict[tuple[int, int], bool] = {}
 
+    @staticmethod
+    def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+        base = 0x9E3779B97F4A7C15 | 1
+        return np.cumprod(np.full(n, base, np.uint64)), np.cumprod(np.full(n, pow(base, -1, 1 << 64), np.uint64))
+
     def _halves(self, piece: str) -> tuple[int, int] | None:
         """The last two parts of a piece when its characters are merged; None if they don't merge into it."""
         parts = [self.table.get(c) for c in piece]
@@ -142,7 +192,7 @@ class Lattice:
                     pair = (before, piece)
                     ok = self.agreed.get(pair)
                     if ok is None:
-                        if len(self.agreed) > MEMO:
+                        if len(self.agreed) > PAIRS:
                             self.agreed.clear()
                         ok = self.agreed[pair] = bool(self.agree(np.array([before]), np.array([piece]))[0])
                     if not ok:
@@ -256,49 +306,119 @@ class Lattice:
             n %= size
         return np.array(out, np.int32).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split, needed, heads = [], set(), set()
-        for text in texts:
-            lines = [line.split(" ") for line in (text or "").replace(SPACE, " ").split("\n")]
-            # the text, not each line, begins with a space of its own
-            rows = [(lines[0][0:0], lines[0]), *((ws[:1], ws[1:]) for ws in lines[1:])] if text else []
-            for head, rest in rows:
-                heads.update(head)
-                needed.update(rest)
-            split.append(rows)
-        if len(needed) + len(heads) > MEMO and len(texts) > 1:  # more words than are kept: text by text
-            return [x for t in texts for x in self.encode([t])]
-        if len(self.spaced) + len(needed) + len(self.bare) + len(heads) > MEMO:
-            self.spaced.clear(), self.bare.clear()
-        self.bare.update(self.learn(heads.difference(self.bare)))
-        fresh = needed.difference(self.spaced)
-        self.spaced.update((w[1:], ids) for w, ids in self.learn({SPACE + w for w in fresh}).items())
-        return [self._join(rows) for rows in split]
-
-    def _join(self, rows: list) -> np.ndarray:
-        out: list[bytes] = []
-        spaced, space = self.spaced, np.array([self.runs[1]], np.int32).tobytes()
-        for i, (head, rest) in enumerate(rows):
-            out += [self.newline, self.bare[head[0]]] if i else []
-            if "" not in rest:
-                out += [spaced[w] for w in rest]
+    def lay(self, unit: str, words: dict[str, bytes]) -> bytes:
+        """Ids of a unit, given those of its word: with ▁ in front after a space, bare after a line feed."""
+        if unit == "\n":
+            return self.newline
+        word = unit.lstrip(" ")
+        gap = len(unit) - len(word)
+        if not gap:
+            return words[word]
+        if not word:
+            return self._gap(gap)
+        own = words[SPACE + word]
+        if gap > 1 and own[:4] == self.space:  # the word left its space alone, which joins the run
+            return self._gap(gap) + own[4:]
+        return self._gap(gap - 1) + own
+
+    def laid(self, units: list[str]) -> list[bytes]:
+        """Ids of units, encoded afresh."""
+        words = self.learn({SPACE + w if w is not u else w for u in units if (w := u.lstrip(" ")) and u != "\n"})
+        return [self.lay(u, words) for u in units]
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        counts, out = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
+        parts: list[str] = []
+        owners: list[int] = []
+        room = CHUNK
+        for i, part in self._parts(texts):
+            if len(part) > room and parts:
+                out.append(self._chunk(parts, owners, counts))
+                parts, owners, room = [], [], CHUNK
+            parts.append(part)
+            owners.append(i)
+            room -= len(part)
+        if parts:
+            out.append(self._chunk(parts, owners, counts))
+        return np.concatenate(out), counts
+
+    @staticmethod
+    def _parts(texts: list[str | None]) -> Iterator[tuple[int, str]]:
+        """Texts with the space that they begin with; long ones in parts that end where units do."""
+        for i, text in enumerate(texts):
+            if not text:
                 continue
-            gap = 0
-            for w in rest:
-                gap += 1
-                if w:
-                    own = spaced[w]
-                    if gap > 1 and own[:4] == space:  # the word left its space alone, which joins the run
-                        out.append(self._gap(gap) + own[4:])
-                    else:
-                        out.append(self._gap(gap - 1) + own)
-                    gap = 0
-            out.append(self._gap(gap))
-        return np.frombuffer(b"".join(out), np.int32)
+            text, at = " " + text.replace(SPACE, " "), 0
+            while len(text) - at > CHUNK:
+                end = at + CHUNK
+                while end > at and not (text[end] == "\n" or text[end] == " " != text[end - 1]):
+                    end -= 1
+                if end == at:  # one unit fills the chunk
+                    end = UNIT.match(text, at).end()
+                yield i, text[at:end]
+                at = end
+            if at < len(text):
+                yield i, text[at:]
+
+    def _chunk(self, parts: list[str], owners: list[int], counts: np.ndarray) -> np.ndarray:
+        whole = "".join(parts)
+        cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, sizes = len(cp), np.array([len(p) for p in parts])
+        begins = np.cumsum(sizes) - sizes
+        space, feed = cp == 32, cp == 10
+        first, after = space.copy(), ~space & ~feed
+        first[1:] &= ~space[:-1]
+        after[1:] &= feed[:-1]
+        first |= feed | after
+        first[begins] = True
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], n)
+        powers, back = (self.powers, self.back) if n <= len(self.powers) else self._powers(n)
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scramble(cp.astype(np.uint64)) * powers[:n])])
+        keys, one, which = np.unique((prefix[ends] - prefix[starts]) * back[starts], return_index=True, return_inverse=True)
+        memo = self.memo
+        places = memo.find(keys)
+        memo.touch(places[places >= 0])
+        if len(new := np.flatnonzero(places < 0)):
+            units = [whole[starts[k] : ends[k]] for k in one[new]]
+            memo.add(keys[new], [np.frombuffer(x, np.int32) for x in self.laid(units)])
+            places = memo.find(keys)
+        places = places[which]
+        many = memo.size[places].astype(np.int64)
+        np.add.at(counts, owners, np.add.reduceat(many, np.searchsorted(starts, begins)))
+        return memo.pool[ragged(memo.start[places], many)]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        ids, counts, _ = self.encode_checked(texts)
+        return np.split(ids, np.cumsum(counts)[:-1])
+
+    def encode_checked(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """Ids of all texts, how many each has, and whether they decode to it."""
+        ids, counts = self.encode_flat(texts)
+        size = self.out_size[ids]
+        data = self.out_bytes[ragged(self.out_start[ids], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+        same, fixed = [], {}
+        for i, text in enumerate(texts):
+            ok = not text or data[ends[i] : ends[i + 1]].tobytes() == b" " + text.encode("utf-8", "surrogatepass")
+            if not ok and SPACE not in text:  # equal hashes of unlike units, or characters that the model lacks
+                fixed[i] = np.frombuffer(b"".join(self.laid(UNIT.findall(" " + text))), np.int32)
+                ok = self.decode(fixed[i]) == text
+            same.append(ok)
+        if fixed:
+            lists = np.split(ids, np.cumsum(counts)[:-1])
+            for i, x in fixed.items():
+                lists[i], counts[i] = x, len(x)
+            ids = np.concatenate(lists)
+        return ids, counts, same
 
     def decode(self, ids: np.ndarray) -> str:
-        table = self.output
-        text = b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        """Ids outside the model add nothing."""
+        ids = np.asarray(ids, np.int64)
+        ids = ids[(ids >= 0) & (ids < len(self.out_size))]
+        text = self.out_bytes[ragged(self.out_start[ids], self.out_size[ids])].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -320,14 +440,11 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = lattice(model.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = part.column(1).to_pylist()
-                ids = tool.encode(texts)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                same = [tool.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(same)], names=["row", "ids", "n_tokens", "round_trip"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, counts, same = tool.encode_checked(part.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(counts), pa.array(same)], names=["row", "ids", "n_tokens", "round_trip"])
 
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*rest).alias("row"), F.col("text").cast("string").alias("text"))
@@ -335,14 +452,15 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
 
 
 def decode(tokens: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
-    """tokens: ids (array of int) and any others. Returns row (the other columns) and text; null ids give null."""
+    """tokens: ids (array of int) and any others. Returns row (the other columns) and text; null ids give null.
+    Null elements and ids outside the model add nothing."""
     with open(model_file, "rb") as f:
         model = tokens.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = lattice(model.value)
         for batch in batches:
-            texts = [None if x is None else tool.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else tool.decode(np.array([-1 if i is None else i for i in x], np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     packed = tokens.select(F.struct(*[c for c in tokens.columns if c != "ids"]).alias("row"), F.col("ids").cast("array<int>").alias("ids"))

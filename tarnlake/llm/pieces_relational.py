@@ -3,7 +3,6 @@ grouping by word, higher-order aggregate, and joins that bring the encoded words
 
 from __future__ import annotations
 
-import copy
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.llm.pieces import DEFAULT_MODEL, SPACE, lattice
+from tarnlake.llm.pieces import DEFAULT_MODEL, SPACE, UNIT, lattice
 
 EDGE = "struct<end:int,size:int,id:int,after:array<int>>"
 
@@ -100,11 +99,11 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
     joined = base.join(found, "rid", "left").select("row", "text", "found")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = copy.copy(lattice(model.value))
+        tool = lattice(model.value)
         for batch in batches:
             ids, same = [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                tool.spaced, tool.bare = {}, {"": b""}
+                words = {}
                 for w in found or ():
                     places, out = 0, []
                     if min(w["ids"]) < 0:  # characters that are no pieces: as bytes
@@ -113,12 +112,9 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
                             places += len(tool.text(i)) if i >= 0 else 1
                     else:
                         out.append(np.array(w["ids"], np.int32).tobytes())
-                    if w["word"][0] == SPACE:
-                        tool.spaced[w["word"][1:]] = b"".join(out)
-                    else:
-                        tool.bare[w["word"]] = b"".join(out)
-                lines = [line.split(" ") for line in (text or "").replace(SPACE, " ").split("\n")]
-                own = tool._join([(lines[0][0:0], lines[0]), *((ws[:1], ws[1:]) for ws in lines[1:])] if text else [])
+                    words[w["word"]] = b"".join(out)
+                units = UNIT.findall(" " + text.replace(SPACE, " ")) if text else []
+                own = np.frombuffer(b"".join(tool.lay(u, words) for u in units), np.int32)
                 ids.append(own)
                 same.append(tool.decode(own) == (text or ""))
             sizes = [len(x) for x in ids]

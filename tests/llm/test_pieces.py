@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -25,7 +26,31 @@ def test_against_the_library(monkeypatch):
         assert ids.tolist() == library.encode(text), text
         assert tool.decode(ids) == text == library.decode(ids.tolist())
     monkeypatch.setattr(pieces, "MEMO", 50)
-    assert [x.tolist() for x in tool.encode(texts[:40])] == [library.encode(t) for t in texts[:40]]
+    monkeypatch.setattr(tool, "memo", pieces.Memo())
+    for at in range(0, 400, 40):
+        assert [x.tolist() for x in tool.encode(texts[at : at + 40])] == [library.encode(t) for t in texts[at : at + 40]]
+    assert len(tool.memo.keys) < 3000
+    monkeypatch.setattr(pieces, "CHUNK", 37)
+    assert [x.tolist() for x in tool.encode(texts[:200])] == [library.encode(t) for t in texts[:200]]
+
+
+def test_equal_hashes_of_unlike_units():
+    """A text that doesn't decode to its source is encoded without hashes."""
+    with open(pieces.DEFAULT_MODEL, "rb") as f:
+        tool = pieces.Lattice(f.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    texts = ["one two three", "four five six", "seven\neight", None, ""]
+    tool.encode(texts)
+    tool.memo.pool[:] = 500  # as if other units had left their ids
+    ids, counts, same = tool.encode_checked(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t or "") for t in texts] and all(same)
+
+
+def test_decode_odd_ids(spark):
+    rows = [(1, [-1, 5, None, 10**6], "x"), (2, None, "y"), (3, [], "z")]
+    got = {r.doc_id: r.text for r in pieces.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>, text string")).select("row.doc_id", "text").collect()}
+    with open(pieces.DEFAULT_MODEL, "rb") as f:
+        assert got == {1: pieces.Lattice(f.read()).decode([5]), 2: None, 3: ""}
 
 
 def test_frame(spark):
