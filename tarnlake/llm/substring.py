@@ -13,8 +13,8 @@ repeated windows. The sort runs most significant digit first, and a suffix leave
   of a block have in common, digit 4 that of all its text: unique and equal blocks leave as bundles do.
 * The last digit is the hash of the single window, inside the blocks that still differ.
 
-Only bundles of the last kind need their text again. What repeats inside an Arrow batch is settled there before any
-shuffle, so a text copied into every document costs one row per batch.
+Only bundles of the last kind need their text again. What repeats inside some megabytes of text is settled there before any
+shuffle, so a text copied into every document costs one row per such part.
 """
 
 from __future__ import annotations
@@ -29,16 +29,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnlake.llm.common import materialize
+from tarnlake.llm.common import materialize, slices
 
 #: Bytes that one pass of the hashing handles; places in it fit POS_BITS.
 POS_BITS = 20
 PIECE = 1 << POS_BITS
-#: Layout of a place: text fingerprint, start of the first window, windows, distance from it to the minimizer.
-FP_BITS, START_BITS, COUNT_BITS, OFF_BITS = 18, 30, 7, 7
+#: Layout of a place: start of the first window, windows, distance from it to the minimizer.
+START_BITS, COUNT_BITS, OFF_BITS = 30, 7, 7
 LAST_ID = (1 << 63) - 1
 BLOCK = 16
-ROWS = "dkey long, a long, b long, place long"
+#: Bytes of text whose entries are settled together before any shuffle.
+SETTLED = 8 << 20
+ROWS = "dkey long, th long, a long, b long, place long"
 
 
 class Roller:
@@ -132,20 +134,20 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
-def range_rows(dkey: np.ndarray, fp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+def range_rows(dkey: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Ranges travel beside bundles: a spreads them over partitions, place is negative."""
     b = (start << 32) | end
-    return dkey, mix(dkey.astype(np.uint64) * np.uint64(3) ^ b.astype(np.uint64)).view(np.int64), b, -1 - fp
+    return dkey, th, mix((dkey ^ th).astype(np.uint64) * np.uint64(3) ^ b.astype(np.uint64)).view(np.int64), b, np.full(len(b), -1)
 
 
 def as_batch(parts: list[tuple[np.ndarray, ...]], windows: pa.Array | None) -> pa.RecordBatch:
-    columns = {name: pa.array(np.concatenate([p[i].astype(np.int64, copy=False) for p in parts])) for i, name in enumerate(("dkey", "a", "b", "place"))}
+    columns = {name: pa.array(np.concatenate([p[i].astype(np.int64, copy=False) for p in parts])) for i, name in enumerate(("dkey", "th", "a", "b", "place"))}
     if windows is not None:
         columns["w"] = pa.concat_arrays([windows, pa.nulls(len(columns["a"]) - len(windows), windows.type)])
     return pa.RecordBatch.from_pydict(columns)
 
 
-def settle(dkey: np.ndarray, fp: np.ndarray, found: list[list[np.ndarray]], length: int, windows: pa.Array | None = None) -> pa.RecordBatch:
+def settle(dkey: np.ndarray, th: np.ndarray, found: list[list[np.ndarray]], length: int, windows: pa.Array | None = None) -> pa.RecordBatch:
     """found: owner, start, count, off, a, b. Of the entries of a batch that agree in a and b the first goes on; the others are removed."""
     owner, start, count, off, a, b = map(np.concatenate, found)
     order = np.lexsort((start, owner, b, a))
@@ -153,13 +155,13 @@ def settle(dkey: np.ndarray, fp: np.ndarray, found: list[list[np.ndarray]], leng
     again[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
     first, rest = order[~again], order[again]
     o, s, e = merged(owner[rest], start[rest], start[rest] + count[rest] + length - 1)
-    place = (((fp[owner[first]] << START_BITS | start[first]) << COUNT_BITS | count[first]) << OFF_BITS) | off[first]
-    return as_batch([(dkey[owner[first]], a[first].view(np.int64), b[first].view(np.int64), place), range_rows(dkey[o], fp[o], s, e)], windows and windows.take(pa.array(first)))
+    place = ((start[first] << COUNT_BITS | count[first]) << OFF_BITS) | off[first]
+    return as_batch([(dkey[owner[first]], th[owner[first]], a[first].view(np.int64), b[first].view(np.int64), place), range_rows(dkey[o], th[o], s, e)], windows and windows.take(pa.array(first)))
 
 
 def anchor_batches(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, SETTLED)):
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)], axis=1)
             keys, first = np.unique(keys, axis=0, return_index=True)  # in order; repeated rows are one document
             texts = text_bytes(batch.column(2).take(pa.array(first)))
@@ -203,7 +205,7 @@ def block_batches(length: int, many: int):
     """Each asked-for bundle as blocks with digits 3 and 4, and the last digit of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, SETTLED)):
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)], axis=1)
             keys, first = np.unique(keys, axis=0, return_index=True)
             batch = batch.take(pa.array(first))
@@ -236,7 +238,7 @@ def block_batches(length: int, many: int):
 
 def kept_batches(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             texts, n_removed, n_spans, sha, kept_texts = text_bytes(batch.column(2)), [], [], [], []
             for text, ranges in zip(texts, batch.column(4), strict=True):
                 pieces, last, spans = [], 0, 0
@@ -269,15 +271,14 @@ def _bits(place: str, low: int, many: int):
 def _digits(rows: DataFrame, length: int) -> DataFrame:
     """One pass of the sort over rows as ROWS. Keeps what is removed (first false; r is its range) and the first
     of each kind of entries if others share its a (first true)."""
-    same = Window.partitionBy("a", "b").orderBy("dkey", "place")
+    same = Window.partitionBy("a", "b").orderBy("dkey", "th", "place")
     ranked = rows.repartition("a").withColumn("k", F.rank().over(same)).withColumn("n", F.sum((F.col("k") == 1).cast("int")).over(Window.partitionBy("a")))
     start = _bits("place", COUNT_BITS + OFF_BITS, START_BITS)
     end = start + _bits("place", OFF_BITS, COUNT_BITS) + (length - 1)
     moved = F.col("place") < 0
-    fp = F.when(moved, -1 - F.col("place")).otherwise(F.shiftright("place", START_BITS + COUNT_BITS + OFF_BITS))
     r = F.when(moved, F.col("b")).otherwise(F.shiftleft(start, 32).bitwiseOR(end))
     kept = ranked.filter("place < 0 or k > 1 or n > 1")
-    return kept.select("a", "dkey", fp.alias("fp"), r.alias("r"), "place", *(c for c in rows.columns if c == "w"), (~moved & (F.col("k") == 1)).alias("first"))
+    return kept.select("a", "dkey", "th", r.alias("r"), "place", *(c for c in rows.columns if c == "w"), (~moved & (F.col("k") == 1)).alias("first"))
 
 
 def dedup(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
@@ -290,25 +291,25 @@ def dedup(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFr
     dropped from it).
 
     Null texts count as empty. Null ids come after all others. Rows that repeat a doc_id and text are one document,
-    reported once per row; rows with the same doc_id and different texts are ordered by a text fingerprint.
+    reported once per row; rows with the same doc_id (or none) and different texts are ordered by the 64-bit hashes of their texts.
     """
     if not 3 <= length <= 128:
         raise ValueError("length: from 3 to 128")
     gram = max(1, min(32, length // 3))
     rest = [c for c in docs.columns if c != "text"]
-    fp = F.xxhash64("text").bitwiseAND((1 << FP_BITS) - 1)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("dkey"), fp.alias("fp"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("row"))
-    found = base.select("dkey", "fp", "text").mapInArrow(anchor_batches(length, gram), ROWS)
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("dkey"), th.alias("th"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("row"))
+    found = base.select("dkey", "th", "text").mapInArrow(anchor_batches(length, gram), ROWS)
     settled = materialize(_digits(found, length).drop("a"), "substring")
-    asked = settled.filter("first").groupBy("dkey", "fp").agg(F.collect_list("place").alias("asked"))
-    blocks = base.join(asked.hint("shuffle_hash"), ["dkey", "fp"]).select("dkey", "fp", "text", "row", "asked").mapInArrow(block_batches(length, min(BLOCK, length // 2)), ROWS + ", w array<long>")
+    asked = settled.filter("first").groupBy("dkey", "th").agg(F.collect_list("place").alias("asked"))
+    blocks = base.join(asked.hint("shuffle_hash"), ["dkey", "th"]).select("dkey", "th", "text", "row", "asked").mapInArrow(block_batches(length, min(BLOCK, length // 2)), ROWS + ", w array<long>")
     settled_blocks = _digits(blocks, length)
     # rows that aren't first have no windows to look at, only their range
     looked_at = F.when(F.col("first"), F.col("w")).otherwise(F.array(F.lit(0).cast("long")))
-    windows = settled_blocks.select("a", "dkey", "fp", "r", "first", F.posexplode(looked_at).alias("i", "x")).withColumn("s", F.shiftright("r", 32) + F.col("i"))
-    later = windows.withColumn("k", F.rank().over(Window.partitionBy("a", "first", "x").orderBy("dkey", "fp", "s"))).filter("k > 1 or not first")
-    later = later.select("dkey", "fp", F.when(F.col("first"), F.shiftleft("s", 32).bitwiseOR(F.col("s") + length)).otherwise(F.col("r")).alias("r"))
-    ranges = settled.filter("not first").select("dkey", "fp", "r").union(later)
-    gone = ranges.groupBy("dkey", "fp").agg(F.collect_list("r").alias("ranges"))
+    windows = settled_blocks.select("a", "dkey", "th", "r", "first", F.posexplode(looked_at).alias("i", "x")).withColumn("s", F.shiftright("r", 32) + F.col("i"))
+    later = windows.withColumn("k", F.rank().over(Window.partitionBy("a", "first", "x").orderBy("dkey", "th", "s"))).filter("k > 1 or not first")
+    later = later.select("dkey", "th", F.when(F.col("first"), F.shiftleft("s", 32).bitwiseOR(F.col("s") + length)).otherwise(F.col("r")).alias("r"))
+    ranges = settled.filter("not first").select("dkey", "th", "r").union(later)
+    gone = ranges.groupBy("dkey", "th").agg(F.collect_list("r").alias("ranges"))
     out = T.StructType([T.StructField("row", base.schema["row"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept_text", T.StringType())] if with_text else [])])
-    return base.join(gone.hint("shuffle_hash"), ["dkey", "fp"], "left").select("dkey", "fp", "text", "row", "ranges").mapInArrow(kept_batches(with_text), out)
+    return base.join(gone.hint("shuffle_hash"), ["dkey", "th"], "left").select("dkey", "th", "text", "row", "ranges").mapInArrow(kept_batches(with_text), out)

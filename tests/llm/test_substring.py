@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnlake.llm.substring import dedup
 
@@ -59,3 +60,30 @@ def test_long_text_spans_pieces(spark):
 
 def test_empty(spark):
     assert dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_null_and_repeated_ids(spark):
+    """4,000 texts without an id, and ids with several texts: each text counts, in the order of their hashes."""
+    rng = random.Random(8)
+    shared = ["".join(rng.choice("abcdefghij ") for _ in range(150)) for _ in range(6)]
+
+    def text():
+        t = "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(90, 260)))
+        return t[:40] + rng.choice(shared) + t[40:] if rng.random() < 0.2 else t
+
+    rows = [(None, text()) for _ in range(4000)] + [(i % 40, text()) for i in range(300)]
+    rows += rows[:50] + rows[-5:] + [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashes = {r.t: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("t")).distinct().select("t", F.xxhash64("t").alias("h")).collect()}
+    want = {}  # by id and what is left of which size, as texts of one id can't be told apart in the result
+    seen = set()
+    for key, _, t in sorted({(d if d is not None else 1 << 63, hashes[t or ""], t or "") for d, t in rows}):
+        b, hit = t.encode(), bytearray(len(t.encode()))
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                hit[i : i + 100] = b"\1" * 100
+            seen.add(b[i : i + 100])
+        want[(key, t)] = (key, len(b), sum(hit), hashlib.sha256(bytes(x for x, h in zip(b, hit, strict=True) if not h)).hexdigest())
+    got = dedup(df).select("row.doc_id", "n_bytes", "n_removed", "kept_sha256").collect()
+    assert sorted((r.doc_id if r.doc_id is not None else 1 << 63, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == sorted(want[(d if d is not None else 1 << 63, t or "")] for d, t in rows)
+    assert sum(r.n_removed > 0 for r in got) > 500
