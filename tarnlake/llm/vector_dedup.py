@@ -1,8 +1,8 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
 Unit vectors of cosine c lie at squared distance 2 - 2c. A random rotation spreads that distance over all coordinates; cut into
-blocks, at least one block must keep within its proportional part of it. So each block is range-joined by itself: vectors go into strips as
-wide as the block's radius, and only neighbouring strips of a label are compared. Every candidate is verified by its
+blocks, at least one block must keep within its proportional part of it. So each block is range-joined by itself: vectors go into strips twice as
+wide as the block's radius, and what lies within a radius of a border is compared with what does beyond it, label by label. Every candidate is verified by its
 exact cosine, and belongs to the first block that admits it, so that no pair counts twice and none is ever a row.
 """
 
@@ -20,8 +20,10 @@ from tarnlake.llm.common import materialize
 from tarnlake.llm.graph import components
 from tarnlake.llm.vectors import matrix, row_dots, usable
 
-BLOCKS, TILE = 4, 2048
-ENTRY = "node long, size long, label string, dim int, block int, cell long, vec array<float>"
+BLOCKS, TILE = 4, 4096
+#: Keys over which the entries of one strip are dealt when they are given their tiles.
+SALTS = 16
+ENTRY = "node long, size long, label string, dim int, block int, cell long, low boolean, high boolean, vec array<float>"
 
 
 @cache
@@ -53,8 +55,11 @@ def strip_batches(least: float):
                 part = batch.filter(pa.array(dims == dim))
                 x = rotated(matrix(part.column(4), dim))
                 for k, (where, budget) in enumerate(blocks(dim, least)):
-                    cell = np.floor(x[:, where.start] / np.sqrt(budget)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(np.full(len(x), k, np.int32)), pa.array(cell), part.column(4)], names=["node", "size", "label", "dim", "block", "cell", "vec"])
+                    # in radii, with some room for rounding; a strip is two of them wide
+                    at, room = x[:, where.start] / np.sqrt(budget), 1 + 1e-9
+                    cell = np.floor(at / 2)
+                    low, high = at - 2 * cell <= room, 2 * cell + 2 - at <= room
+                    yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(np.full(len(x), k, np.int32)), pa.array(cell.astype(np.int64)), pa.array(low), pa.array(high), part.column(4)], names=["node", "size", "label", "dim", "block", "cell", "low", "high", "vec"])
 
     return run
 
@@ -155,13 +160,14 @@ def dedup(vectors: DataFrame, vector: str = "embedding", least: float = 0.93, la
     before = strips.select(*place, (F.col("cell") + 1).alias("cell"), F.col("tiles").alias("before"))
     after = strips.select(*place, (F.col("cell") - 1).alias("cell"), F.col("tiles").alias("after"))
     strips = strips.join(before, [*place, "cell"], "left").join(after, [*place, "cell"], "left").fillna(0, ["before", "after"])
-    tiled = entries.join(strips, [*place, "cell"]).withColumn("tile", F.pmod(F.xxhash64("node", "block"), F.col("tiles")).cast("int"))
+    salted = strips.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tiled = entries.withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*place, "cell", "salt"]).withColumn("tile", F.pmod(F.xxhash64("node", "block"), F.col("tiles")).cast("int"))
     upto = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1), lambda i: i)
     own = F.transform(upto("tiles"), lambda i: F.struct(F.col("cell").alias("cell"), F.lit(0).alias("kind"), F.least(i, "tile").alias("i"), F.greatest(i, "tile").alias("j"), F.lit(False).alias("guest")))
     host = F.transform(upto("before"), lambda i: F.struct(F.col("cell").alias("cell"), F.lit(1).alias("kind"), i.alias("i"), F.col("tile").alias("j"), F.lit(False).alias("guest")))
     guest = F.transform(upto("after"), lambda i: F.struct((F.col("cell") + 1).alias("cell"), F.lit(1).alias("kind"), F.col("tile").alias("i"), i.alias("j"), F.lit(True).alias("guest")))
     none = F.slice(host, 1, 0)
-    groups = F.concat(own, F.when(F.col("before") > 0, host).otherwise(none), F.when(F.col("after") > 0, guest).otherwise(none))
+    groups = F.concat(own, F.when((F.col("before") > 0) & F.col("low"), host).otherwise(none), F.when((F.col("after") > 0) & F.col("high"), guest).otherwise(none))
     key = [*place, "cell", "kind", "i", "j"]
     dealt = tiled.select("node", "size", "vec", "tile", *place, F.explode(groups).alias("g")).select(*place, "g.cell", "g.kind", "g.i", "g.j", "g.guest", "node", "size", "tile", "vec")
     dealt = dealt.repartition(*key).sortWithinPartitions(*key)
