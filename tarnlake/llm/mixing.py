@@ -43,8 +43,8 @@ def _hash(seed: int) -> Column:
 
 
 def _plan(base: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
-    """base: source, size, h. A row per source: key, source_size, target, whole (repeats that all its documents get)
-    and cut (those with a hash prefix below it get one more; null: none do)."""
+    """base: source, size, h. A row per source: key, source_size, target, whole (repeats that all its documents get),
+    cut (those with a hash prefix below it get one more; null: none do) and left (the words still wanted of those at the cut)."""
     targets = source_targets(base, weights, max_repeats)
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats))).otherwise(0).cast("long"))
     first = targets.withColumn("need", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))).withColumn("prefix", F.lit(0).cast("long"))
@@ -59,14 +59,34 @@ def _plan(base: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFram
         bins = binned.groupBy("key", "prefix", "b").agg(F.sum("size").alias("n")).join(edge.select("key", "prefix", "need"), ["key", "prefix"]).withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
         crossing = bins.filter((F.col("before") <= F.col("need")) & (F.col("before") + F.col("n") > F.col("need")))
         edge = materialize(crossing.select("key", F.col("b").alias("prefix"), (F.col("need") - F.col("before")).alias("need"), "n"), "mixing-edge")
-    # buckets below the crossing one are taken; the crossing one too, if that ends nearer
-    cut = edge.select("key", F.when(F.col("n") - F.col("need") < F.col("need"), F.col("prefix") + 1).otherwise(F.col("prefix")).alias("cut"))
-    return materialize(first.join(cut, "key", "left").select("key", "source_size", "target", "whole", "cut"), "mixing-plan")
+    # buckets below the crossing one are taken; what is wanted of that one itself, _at_cut() deals out
+    return materialize(first.join(edge.select("key", F.col("prefix").alias("cut"), F.col("need").alias("left")), "key", "left").select("key", "source_size", "target", "whole", "cut", "left"), "mixing-plan")
+
+
+def _prefix() -> Column:
+    return F.shiftrightunsigned("h", 64 - LEVEL_BITS * LEVELS)
+
+
+def _at_cut(rows: DataFrame) -> DataFrame:
+    """rows: those whose hash is at their source's cut, with key, part, size, left. Adds more: 1 for as many of them, one after the other, as come nearest
+    to what is left. Rows that agree in everything share a hash, so there can be many: they are numbered part by part, and
+    only the parts' sums are put in order for a whole source."""
+    parts = rows.groupBy("key", "part").agg(F.sum("size").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("key", "part", before.alias("before"))
+    inside = Window.partitionBy("key", "part").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, ["key", "part"])
+    return numbered.withColumn("more", (F.col("before") + F.col("inside") + F.col("size") / 2 <= F.col("left")).cast("int")).drop("before", "inside")
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows: joined with the plan. Those whose hash tells what they get, with more; and those at the cut."""
+    at = F.coalesce(_prefix() == F.col("cut"), F.lit(False))
+    return rows.filter(~at).withColumn("more", F.coalesce(_prefix() < F.col("cut"), F.lit(False)).cast("int")), rows.filter(at)
 
 
 def _repeats(max_repeats: int) -> Column:
-    below = F.coalesce(F.shiftrightunsigned("h", 64 - LEVEL_BITS * LEVELS) < F.col("cut"), F.lit(False))
-    return F.least(F.col("whole") + below.cast("int"), F.lit(max_repeats)).cast("long")
+    return F.least(F.col("whole") + F.col("more"), F.lit(max_repeats)).cast("long")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, seed: int = 42) -> DataFrame:
@@ -78,14 +98,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
     Every document of a source is taken floor(target / source_size) times, and once more if its hash is below the
     source's threshold. Thresholds come from histograms of words by source and hash prefix: the bucket in which the
     sum crosses the rest of the target is the only one that the next level looks into, so documents are never sorted.
-    After the last level the crossing bucket is taken if that ends nearer the target.
+    After the last level the documents of the crossing bucket are taken one by one as long as that ends nearer the target.
 
     Null texts have size 0; null is a source of its own, last in order. Rows that agree in doc_id, source and text
-    share a hash and are taken together; otherwise ties don't matter. Sources without words have target 0. An empty
+    share a hash; where the threshold falls on them, some are taken once more and some aren't. Sources without words have target 0. An empty
     table gives no rows.
     """
-    base = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash(seed).alias("h")), "mixing")
-    taken = base.withColumn("key", F.struct("source")).join(_plan(base, weights, max_repeats), "key").withColumn("repeats", _repeats(max_repeats))
+    base = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash(seed).alias("h"), F.spark_partition_id().alias("part")), "mixing")
+    told, at_cut = _split(base.withColumn("key", F.struct("source")).join(_plan(base, weights, max_repeats), "key"))
+    taken = told.unionByName(_at_cut(at_cut)).withColumn("repeats", _repeats(max_repeats))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
 
@@ -93,7 +114,9 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int
     """The mix itself: the rows of docs, all columns, each as often as mix() takes it. Rows without words, which
     weigh nothing, stay as they are."""
     base = materialize(docs.select("source", word_count(F.col("text")).alias("size"), _hash(seed).alias("h")), "mixing")
-    plan = _plan(base, weights, max_repeats).select(F.col("key").alias("_key"), "cut", "whole")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.struct("source").alias("_key"), _hash(seed).alias("h"), (word_count(F.col("text")) > 0).alias("worded"))
-    times = F.when(F.col("worded"), _repeats(max_repeats)).otherwise(1).cast("int")
-    return packed.join(plan, "_key").select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
+    plan = _plan(base, weights, max_repeats).select("key", "cut", "left", "whole")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.struct("source").alias("key"), _hash(seed).alias("h"), word_count(F.col("text")).alias("size"))
+    told, at_cut = _split(packed.join(plan, "key"))
+    at_cut = materialize(at_cut.withColumn("part", F.spark_partition_id()), "mixing-cut")
+    times = F.when(F.col("size") > 0, _repeats(max_repeats)).otherwise(1).cast("int")
+    return told.unionByName(_at_cut(at_cut).drop("part")).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

@@ -48,6 +48,23 @@ def test_targets_and_takes(spark):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def test_repeated_rows_and_long_texts(spark):
+    """A source of 1,000 equal rows, one with a third of all rows, and texts of very unlike sizes come near their targets."""
+    rows = [(1, "a b c d", "a", 0, "")] * 1000 + [(i % 3, "x " * 5, "b", 0, "") for i in range(900)] + [(i, "w " * (200_000 if i == 7 else 40), "c", 0, "") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = mix(df).collect()
+    assert len(got) == len(rows)
+    for size, most in ((4, 4), (5, 5)):
+        own = [r for r in got if r["size"] == size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= most / 2 + 1e-6
+        assert all(0 <= r.taken <= 3 * r["size"] for r in own)
+    again = mix(spark.createDataFrame(rows[::-1], SCHEMA).repartition(3)).collect()
+    assert sorted((r.doc_id, r["size"], r.taken) for r in got) == sorted((r.doc_id, r["size"], r.taken) for r in again)
+    from tarnlake.llm.mixing import mixed
+
+    assert mixed(df).filter("source = 'a'").count() * 4 == sum(r.taken for r in got if r["size"] == 4)
+
+
 def test_empty_and_wordless(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     got = mix(spark.createDataFrame([(1, "", "a", 0, ""), (None, None, None, 0, "")], SCHEMA)).collect()
