@@ -8,8 +8,9 @@ those siblings that read like it. Menus, headers, footers and the like are known
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnlake.llm.common import slices
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript template svg math".split())
@@ -73,7 +76,9 @@ def _parse(html: str, lenient: bool) -> tuple[list[Node], list[tuple[int, str, i
     """Block-level tree, and the text blocks in page order as (node, text, characters in links). lenient: forms and marked elements count too."""
     nodes, blocks = [Node("", -1, False)], []
     stack: list[tuple[str, int, bool, bool]] = [("", 0, True, False)]  # tag, node, block-level, dropped
-    open_tags: Counter[str] = Counter()
+    # depths at which tags are open, and those of block-level ones: no search walks the stack
+    depths: defaultdict[str, list[int]] = defaultdict(list)
+    block_depths = [0]
     parts: list[str] = []
     linked = links = 0
 
@@ -89,11 +94,16 @@ def _parse(html: str, lenient: bool) -> tuple[list[Node], list[tuple[int, str, i
         nonlocal links
         if any(x[2] for x in stack[depth:]):
             end_block()
-        for tag, *_ in stack[depth:]:
-            open_tags[tag] -= 1
+        for tag, _, block, _ in stack[depth:]:
+            depths[tag].pop()
             links -= tag == "a"
+            if block:
+                block_depths.pop()
         del stack[depth:]
 
+    def nearest(tags: Iterable[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths[t]), default=0)
+
     def text(raw: str) -> None:
         nonlocal linked
         if raw and not stack[-1][3]:
@@ -124,16 +134,11 @@ def _parse(html: str, lenient: bool) -> tuple[list[Node], list[tuple[int, str, i
             continue
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            if not open_tags[tag] or tag in ("html", "body"):
+            if not depths[tag] or tag in ("html", "body"):
                 if tag in BLOCK:
                     end_block()
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop(depth)
-                    break
-                if stack[depth][2] and tag not in BLOCK:
-                    break  # formatting doesn't close blocks
+            elif tag in BLOCK or block_depths[-1] <= depths[tag][-1]:  # formatting doesn't close blocks
+                pop(depths[tag][-1])
             continue
         if tag in RAW:
             if tag in BLOCK:
@@ -148,22 +153,18 @@ def _parse(html: str, lenient: bool) -> tuple[list[Node], list[tuple[int, str, i
             continue
         block = tag in BLOCK
         if block:
-            if open_tags["p"]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == "p":
-                        pop(depth)
-                        break
-                    if stack[depth][0] in ("td", "th", "caption", "button", "object"):
-                        break
+            if depths["p"] and depths["p"][-1] > nearest(("td", "th", "caption", "button", "object")):
+                pop(depths["p"][-1])
             if tag in CLOSES:
                 closed, scope = CLOSES[tag]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] in scope:
-                        break
-                    if stack[depth][0] in closed.split():
-                        pop(depth)
-                        if tag not in ("tr", "thead", "tbody", "tfoot"):
-                            break
+                floor = nearest(scope)
+                if tag in ("tr", "thead", "tbody", "tfoot"):  # all that is open
+                    found = [depths[t][k] for t in closed.split() if (k := bisect_right(depths[t], floor)) < len(depths[t])]
+                    depth = min(found, default=0)
+                else:
+                    depth = nearest(closed.split())
+                if depth > floor:
+                    pop(depth)
             end_block()
         if tag in VOID:
             continue
@@ -171,13 +172,15 @@ def _parse(html: str, lenient: bool) -> tuple[list[Node], list[tuple[int, str, i
         top = stack[-1]
         bad = tag in BOILERPLATE and not (lenient and tag == "form") or bad and not lenient and tag not in ("html", "body", "main")
         if tag == "header":  # of the page; an article's own has its headline
-            bad |= not (open_tags["article"] or open_tags["main"])
+            bad |= not (depths["article"] or depths["main"])
         node = top[1]
         if block and not (top[3] or bad):
             nodes.append(Node(tag, node, good))
             node = len(nodes) - 1
+        depths[tag].append(len(stack))
+        if block:
+            block_depths.append(len(stack))
         stack.append((tag, node, block, top[3] or bad))
-        open_tags[tag] += 1
         links += tag == "a"
     end_block()
     return nodes, blocks
@@ -255,7 +258,7 @@ def extract(pages: DataFrame) -> DataFrame:
     packed = pages.select(F.struct(*[c for c in pages.columns if c != "html"]).alias("row"), F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             texts = [main_text(h) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["row", "text", "n_chars"])
 

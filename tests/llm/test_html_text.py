@@ -1,3 +1,5 @@
+import time
+
 from tarnlake.llm.html_text import extract, main_text
 
 P = "This is a sentence of the article, long enough to count, with commas. " * 3
@@ -39,6 +41,14 @@ def test_odd_input():
     assert main_text("<table><tr><td>one<td>two<tr><td>three</table>") == "one\n\ntwo\n\nthree"
 
 
+def test_time_grows_with_the_page():
+    """Pages whose open tags were once searched over and over."""
+    for make in (lambda n: "<i><div>" + "<b>" * n + "x" + "</i>" * n, lambda n: "<p>" + "<b>" * n + "<div>y</div>" * n, lambda n: "<table>" + "<b>" * n + "<tr><td>z" * n, lambda n: "<ul>" + "<i>" * n + "<li>w" * n):
+        began = time.perf_counter()
+        assert main_text(make(40_000))
+        assert time.perf_counter() - began < 5
+
+
 def test_frame(spark):
     rows = [(1, "u", "<p>a  b</p>", 3), (None, None, None, 4), (1, "u", "<p>a  b</p>", 3), (2, "u", "<p>" + "x " * 300_000, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
