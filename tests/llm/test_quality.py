@@ -18,6 +18,53 @@ def test_forest_fits_and_bounds():
     assert quality.grow(np.zeros((0, 4)), np.zeros(0)).score(np.zeros((2, 4))).tolist() == [0.5, 0.5]
 
 
+def slow_grow(x, y, trees, depth, bins, rate, ridge, least):
+    """Every split by trying every cut of every feature on the raw values, node by node."""
+    mean = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    bias = float(np.log(mean / (1 - mean)))
+    cuts = [sorted({float(q) for q in np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])}) for c in x.T]
+    total, forest = np.full(len(x), bias), []
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        g, h = y - p, p * (1 - p)
+
+        def node(rows, left):
+            best = (1e-6, None)
+            if left:
+                for f in range(x.shape[1]):
+                    for c in cuts[f]:
+                        low = [i for i in rows if x[i, f] <= c]
+                        high = [i for i in rows if x[i, f] > c]
+                        if h[low].sum() < least or h[high].sum() < least:
+                            continue
+                        gain = sum(g[k].sum() ** 2 / (h[k].sum() + ridge) for k in (low, high)) - g[rows].sum() ** 2 / (h[rows].sum() + ridge)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (f, c, low, high))
+            if best[1] is None:
+                return rate * g[rows].sum() / (h[rows].sum() + ridge)
+            f, c, low, high = best[1]
+            return f, c, node(low, left - 1), node(high, left - 1)
+
+        def walk(tree, row):
+            while isinstance(tree, tuple):
+                tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+            return tree
+
+        tree = node(list(range(len(x))), depth)
+        forest.append(tree)
+        total += np.array([walk(tree, r) for r in x])
+    return lambda new: 1 / (1 + np.exp(-(bias + np.array([sum(walk(t, r) for t in forest) for r in new]))))
+
+
+def test_against_a_slow_tree_builder():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(220, 3)).round(1)  # ties within bins
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=220) * 0.3) > 0).astype(float)
+    settings = {"trees": 6, "depth": 3, "bins": 12, "rate": 0.3, "ridge": 1.0, "least": 3.0}
+    new = rng.normal(size=(200, 3))
+    assert np.allclose(quality.grow(x, y, **settings).score(new), slow_grow(x, y, **settings)(new), atol=1e-9)
+
+
 def test_held_out_accuracy_and_odd_rows(spark):
     rng = random.Random(2)
     rows, labels = [], []
