@@ -18,7 +18,7 @@ def _toward_min(pairs: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), salts)
     salted = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(least, ["u", "s"]).select("u", "v", "m")
+    return salted.join(least.hint("merge"), ["u", "s"]).select("u", "v", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
