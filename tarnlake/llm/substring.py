@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from tarnlake.llm.common import materialize, slices
 
 #: Bytes that one pass of the hashing handles; places in it fit POS_BITS.
-POS_BITS = 20
+POS_BITS = 18
 PIECE = 1 << POS_BITS
 #: Layout of a place: start of the first window, windows, distance from it to the minimizer.
 START_BITS, COUNT_BITS, OFF_BITS = 30, 7, 7
