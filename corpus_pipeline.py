@@ -14,17 +14,20 @@ from tarnlake.llm.common import materialize, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labelled ones, takes for good."""
+    """Documents that the quality classifier, trained on the labelled ones, takes for good. Null and empty texts are judged by their
+    (zero) statistics; rows that repeat fare alike. Without any label all stay."""
     return quality.classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates, the document with the smallest doc_id."""
+    """Of each class of near-duplicates, the document with the smallest doc_id; one without an id only if none has one. Texts without words
+    are alike to nothing and stay, each id and text once."""
     return ngram_join.first_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 100 bytes and more that an earlier one has. Documents of which nothing is left go; n_chars follows the text."""
+    """Texts without the passages of 100 bytes and more that an earlier one has; those without an id come last. Documents of which nothing
+    is left go, empty ones stay; n_chars follows the text where it was cut."""
     columns = docs.columns
     found = substring.dedup(docs, with_text=True).filter("n_bytes = 0 or n_removed < n_bytes")
     text = F.col("kept_text")
@@ -35,12 +38,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources by weight: documents repeated or left out as it says."""
+    """The mix of sources by weight: documents repeated or left out as it says. Null is a source of its own; documents without words weigh nothing and stay."""
     return mixing.mixed(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text."""
+    """Token ids of every text; none for null and empty ones."""
     return pieces.encode(docs).select("row.doc_id", "row.source", "ids", "n_tokens")
 
 
