@@ -9,11 +9,14 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from tarnlake.sources import avro_codec as codec
 
@@ -23,7 +26,9 @@ SPARK_TYPES = {"boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.Lon
 def open_fs(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), unquote(urlparse(path).path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
 def spark_type(s: Any) -> tuple[T.DataType, bool]:
@@ -112,39 +117,77 @@ def shaped(v: Any, t: T.DataType) -> Any:
     return v
 
 
+#: Bytes of a file that one task reads.
+SPLIT = 32 << 20
+
+
 @dataclass
-class File(InputPartition):
+class Part(InputPartition):
+    """A range of a file: the blocks that begin in it."""
+
     path: str
+    start: int = 0
+    end: int = 0
 
     def __post_init__(self) -> None:
-        super().__init__(self.path)
+        super().__init__((self.path, self.start, self.end))
 
 
 class AvroReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType) -> None:
-        self.path, self.schema, self.reader = options["path"], schema, options.get("readerschema")
+        self.path, self.schema, self.reader, self.split = options["path"], schema, options.get("readerschema"), int(options.get("split", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
-        return [File(p) for p in files(self.path)] or [File("")]
+        return [Part(p, at, at + self.split) for p, size in sized(self.path) for at in range(0, max(size, 1), self.split)] or [Part("")]
 
-    def read(self, partition: File) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         fs, _ = open_fs(self.path)
         wanted = json.loads(self.reader) if self.reader else None
-        with fs.open_input_stream(partition.path) as f:
-            for row in codec.read_rows(f, wanted):
-                yield tuple(shaped(row.get(x.name), x.dataType) for x in self.schema.fields)
-
-
-def files(path: str) -> list[str]:
+        with fs.open_input_file(partition.path) as f:
+            own = codec.flat_fields(codec.parse(codec.read_header(f)[0])) if wanted is None else None
+            if own is None:
+                for row in codec.read_rows(f, wanted, partition.start, partition.end):
+                    yield tuple(shaped(row.get(x.name), x.dataType) for x in self.schema.fields)
+                return
+            arrow = to_arrow_schema(self.schema, timestamp_utc=True)
+            decode = codec.column_decoder(own, frozenset(self.schema.fieldNames()))
+            for n, data in codec.read_blocks(f, partition.start, partition.end):
+                columns = decode(data, n)
+                yield pa.RecordBatch.from_arrays([as_array(columns[x.name], x.type) if x.name in columns else pa.nulls(n, x.type) for x in arrow], schema=arrow)
+
+
+def as_array(values: list, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_timestamp(kind) or pa.types.is_date(kind):
+        return pa.array(values, pa.int64() if pa.types.is_timestamp(kind) else pa.int32()).view(kind)
+    return pa.array(values, kind)
+
+
+def sized(path: str) -> list[tuple[str, int]]:
+    """Files and their sizes, in order."""
     from pyarrow.fs import FileSelector, FileType
 
     fs, root = open_fs(path)
     info = fs.get_file_info(root)
     if info.type == FileType.File:
-        return [root]
-    return sorted(f.path for f in fs.get_file_info(FileSelector(root, recursive=True, allow_not_found=True)) if f.is_file and f.base_name.endswith(".avro"))
+        return [(root, info.size)]
+    return sorted((f.path, f.size) for f in fs.get_file_info(FileSelector(root, recursive=True, allow_not_found=True)) if f.is_file and f.base_name.endswith(".avro"))
+
+
+def files(path: str) -> list[str]:
+    return [p for p, _ in sized(path)]
+
+
+def as_list(column: pa.Array, kind: str) -> list:
+    """Values as column_encoder() takes them: times as numbers, strings as their bytes."""
+    if pa.types.is_timestamp(column.type):
+        column = column.cast(pa.timestamp("us", column.type.tz)).view(pa.int64())
+    elif pa.types.is_date32(column.type):
+        column = column.view(pa.int32())
+    elif kind in ("string", "bytes"):
+        column = column.cast(pa.binary())
+    return column.to_pylist()
 
 
 @dataclass
@@ -152,22 +195,29 @@ class Written(WriterCommitMessage):
     name: str | None
 
 
-class AvroWriter(DataSourceWriter):
+class AvroWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool) -> None:
         self.path, self.schema, self.overwrite = options["path"], schema, overwrite
         self.codec, self.avro = options.get("compression", "deflate"), options.get("avroschema")
         self.job = f".{uuid.uuid4().hex}"
 
-    def write(self, iterator: Iterator[T.Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = open_fs(self.path)
         schema = json.loads(self.avro) if self.avro else avro_schema(self.schema)
         fs.create_dir(posixpath.join(root, self.job), recursive=True)
         name, writer, out = f"part-{uuid.uuid4().hex}.avro", None, None
-        for row in iterator:
+        own = codec.flat_fields(codec.parse(schema))
+        encode = codec.column_encoder(own) if own else None
+        for batch in (b for b in iterator if b.num_rows):
             if writer is None:
                 out = fs.open_output_stream(posixpath.join(root, self.job, name))
                 writer = codec.FileWriter(out, schema, self.codec)
-            writer.write(plain(row))
+            if encode:
+                for b in encode([as_list(batch.column(name), kind) for name, kind, _ in own]):
+                    writer.write_encoded(b)
+            else:
+                for row in batch.to_pylist(maps_as_pydicts="strict"):
+                    writer.write(row)
         if writer is None:
             return Written(None)
         writer.flush()
@@ -193,19 +243,25 @@ class AvroWriter(DataSourceWriter):
 
 
 class AvroSource(DataSource):
-    """format("avro_ocf"). Options: path; readerSchema; avroSchema (for writing); compression (null, deflate, snappy, zstandard)."""
+    """format("avro_ocf"). Options: path; readerSchema; fields (JSON list of names or places to read); split (bytes to a task); avroSchema (for writing);
+    compression (null, deflate, snappy, zstandard, lz4)."""
 
     @classmethod
     def name(cls) -> str:
         return "avro_ocf"
 
     def schema(self) -> T.StructType:
+        found = self._whole()
+        own = json.loads(self.options["fields"]) if "fields" in self.options else found.fieldNames()
+        return T.StructType([found[c] for c in own])
+
+    def _whole(self) -> T.StructType:
         if reader := self.options.get("readerschema"):
             return spark_type(codec.parse(reader))[0]
         found = files(self.options["path"])
         if not found:
             raise FileNotFoundError(self.options["path"])
-        with open_fs(self.options["path"])[0].open_input_stream(found[0]) as f:
+        with open_fs(self.options["path"])[0].open_input_file(found[0]) as f:
             return spark_type(codec.parse(codec.read_header(f)[0]))[0]
 
     def reader(self, schema: T.StructType) -> AvroReader:
@@ -225,10 +281,11 @@ def read(spark: SparkSession, path: str, columns: Sequence[str] | Sequence[int]
     source = spark.read.format("avro_ocf")
     if reader_schema is not None:
         source = source.option("readerSchema", reader_schema if isinstance(reader_schema, str) else json.dumps(reader_schema))
-    df = source.load(path)
-    if columns is not None:
-        return df.select(*[df.columns[c] if isinstance(c, int) else c for c in columns])
-    return df.drop(*skip) if skip else df
+    if columns is not None:  # the others are stepped over
+        return source.option("fields", json.dumps(list(columns))).load(path)
+    if skip:
+        return source.option("fields", json.dumps([c for c in source.load(path).columns if c not in skip])).load(path)
+    return source.load(path)
 
 
 def write(df: DataFrame, path: str, compression: str = "deflate", schema: dict | None = None, mode: str = "append") -> None:
@@ -241,12 +298,10 @@ def encode(row: Column, schema: dict, wire: str = "single", key: int | None = No
     """A struct column as framed messages."""
     body, mark = schema, codec.fingerprint(schema) if wire == "single" else key
 
-    @F.udf(T.BinaryType())
-    def to_message(v: Any) -> bytes | None:
-        if v is None:
-            return None
-        cached = to_message.__dict__.setdefault("encode", codec.encoder(codec.parse(body)))
-        return codec.frame(cached(plain(v)), wire, mark)
+    @F.arrow_udf(T.BinaryType())
+    def to_message(rows: pa.Array) -> pa.Array:
+        own = codec.encoder(codec.parse(body))
+        return pa.array([None if v is None else codec.frame(own(v), wire, mark) for v in rows.to_pylist(maps_as_pydicts="strict")], pa.binary())
 
     return to_message(row)
 
@@ -255,19 +310,25 @@ def decode(message: Column, schema: dict, wire: str = "single", store: codec.Sch
     """Framed messages as structs of a reader's schema; writers' schemas come from the store, by fingerprint or id. Broken messages give null."""
     kind, known = spark_type(codec.parse(schema))[0], dict(store.known) if store else {codec.fingerprint(schema): codec.parse(schema)}
 
-    @F.udf(kind)
-    def to_struct(v: bytes | None) -> Any:
-        if v is None:
-            return None
-        plans = to_struct.__dict__.setdefault("plans", {})
-        try:
-            key, body = codec.unframe(bytes(v), wire)
-            if key not in plans:
-                writer = codec.parse(schema) if key is None else known[key]
-                plans[key] = codec.decoder(writer), codec.resolver(writer, codec.parse(schema))
-            read_, fix = plans[key]
-            return shaped(fix(read_(codec.Reader(body))), kind)
-        except (codec.AvroError, KeyError, IndexError, UnicodeDecodeError):
-            return None
+    arrow = to_arrow_type(kind, timestamp_utc=True)
+
+    @F.arrow_udf(kind)
+    def to_struct(messages: pa.Array) -> pa.Array:
+        plans: dict = {}
+
+        def one(v: bytes | None) -> Any:
+            if v is None:
+                return None
+            try:
+                key, body = codec.unframe(v, wire)
+                if key not in plans:
+                    writer = codec.parse(schema) if key is None else known[key]
+                    plans[key] = codec.decoder(writer), codec.resolver(writer, codec.parse(schema))
+                read_, fix = plans[key]
+                return fix(read_(codec.Reader(body)))
+            except (codec.AvroError, KeyError, IndexError, UnicodeDecodeError):
+                return None
+
+        return pa.array([one(v) for v in messages.to_pylist()], arrow)
 
     return to_struct(message)

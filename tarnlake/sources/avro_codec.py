@@ -390,6 +390,10 @@ def _codec(name: str) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes
             return out
 
         return lambda b: pa.Codec("snappy").compress(b, asbytes=True) + struct.pack(">I", zlib.crc32(b)), unsnappy
+    if name == "lz4":  # one frame, as the library that introduced it writes
+        import pyarrow as pa
+
+        return lambda b: pa.Codec("lz4").compress(b, asbytes=True), lambda b: pa.CompressedInputStream(pa.BufferReader(b), "lz4").read()
     raise AvroError(f"no codec {name}")
 
 
@@ -401,7 +405,9 @@ class FileWriter:
         out.write(MAGIC + encoder({"type": "map", "values": "bytes"})(meta) + self.sync)
 
     def write(self, row: Any) -> None:
-        b = self.encode(row)
+        self.write_encoded(self.encode(row))
+
+    def write_encoded(self, b: bytes) -> None:
         self.rows.append(b)
         self.size += len(b)
         if self.size >= self.limit:
@@ -438,20 +444,130 @@ def read_header(f: Any) -> tuple[Schema, dict[str, bytes], bytes]:
     return json.loads(meta["avro.schema"]), meta, f.read(16)
 
 
-def read_rows(f: Any, reader: Schema | None = None) -> Iterator[Any]:
-    schema, meta, sync = read_header(f)
-    writer = parse(schema)
-    decode, unpack = decoder(writer), _codec(meta.get("avro.codec", b"null").decode())[1]
-    fix = resolver(writer, parse(reader)) if reader is not None else None
-    while (n := _stream_long(f)) is not None:
-        r = Reader(unpack(f.read(_stream_long(f))))
+def read_blocks(f: Any, start: int = 0, end: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """Rows and plain data of the blocks that begin in [start, end) of a file that can seek. The header belongs to the first part; other parts begin at
+    the first sync mark from start on, so that parts share no block and leave none out."""
+    f.seek(0)
+    _, meta, sync = read_header(f)
+    unpack, at = _codec(meta.get("avro.codec", b"null").decode())[1], f.tell()
+    if start > at:
+        f.seek(start - 16 if start - 16 > at else at)  # a mark that ends at start begins a block there
+        seen, base = b"", f.tell()
+        while (k := seen.find(sync)) < 0:
+            more = f.read(1 << 16)
+            if not more:
+                return
+            drop = max(0, len(seen) - 15)
+            seen, base = seen[drop:] + more, base + drop
+        f.seek(base + k + 16)
+    while end is None or f.tell() < end:
+        n = _stream_long(f)
+        if n is None:
+            return
+        data = f.read(_stream_long(f))
         if f.read(16) != sync:
             raise AvroError("block without its sync mark")
+        yield n, unpack(data)
+
+
+def read_rows(f: Any, reader: Schema | None = None, start: int = 0, end: int | None = None) -> Iterator[Any]:
+    f.seek(0)
+    writer = parse(read_header(f)[0])
+    decode = decoder(writer)
+    fix = resolver(writer, parse(reader)) if reader is not None else None
+    for n, data in read_blocks(f, start, end):
+        r = Reader(data)
         for _ in range(n):
             v = decode(r)
             yield fix(v) if fix else v
 
 
+#: Kinds that column_decoder() and column_encoder() take, alone or beside null.
+FLAT = frozenset({"boolean", "int", "long", "float", "double", "string", "bytes"})
+
+
+def flat_fields(s: Schema) -> list[tuple[str, str, int | None]] | None:
+    """Name, kind and place of null (0, 1, or None if it can't be) of each field of a record of flat fields; None if it isn't one. Logical types but
+    timestamps and dates, which are plain numbers, aren't flat."""
+    if kind_of(s) != "record":
+        return None
+    out = []
+    for f in s["fields"]:
+        branches = f["type"] if kind_of(f["type"]) == "union" else [f["type"]]
+        kinds = [kind_of(b) for b in branches]
+        rest = [b for b, k in zip(branches, kinds, strict=True) if k != "null"]
+        if len(rest) != 1 or len(branches) > 2 or kind_of(rest[0]) not in FLAT:
+            return None
+        logical = rest[0].get("logicalType") if isinstance(rest[0], dict) else None
+        if logical is not None and logical not in ("date", "timestamp-micros", "local-timestamp-micros"):
+            return None
+        out.append((f["name"], kind_of(rest[0]), kinds.index("null") if "null" in kinds else None))
+    return out
+
+
+_VARINT = """n = data[at]; at += 1
+if n > 127:
+    n &= 127; shift = 7
+    while True:
+        b = data[at]; at += 1
+        n |= (b & 127) << shift
+        if b < 128: break
+        shift += 7
+n = (n >> 1) ^ -(n & 1)
+"""
+
+
+def column_decoder(fields: list[tuple[str, str, int | None]], wanted: frozenset[str]) -> Callable[[bytes, int], dict[str, list]]:
+    """A function made for a record: block and rows to lists of values, by column. Fields that aren't wanted are stepped over."""
+    takes = {"boolean": "v = data[at] == 1; at += 1\n", "float": "v, = f4(data, at); at += 4\n", "double": "v, = f8(data, at); at += 8\n"}
+    steps = {"boolean": "at += 1\n", "float": "at += 4\n", "double": "at += 8\n"}
+    lines = ["def decode(data, rows):", "    at = 0", *[f"    c{i} = []; a{i} = c{i}.append" for i in range(len(fields))], "    for _ in range(rows):"]
+
+    def put(text: str, depth: int) -> None:
+        lines.extend("    " * depth + x for x in text.rstrip("\n").split("\n"))
+
+    for i, (name, kind, null) in enumerate(fields):
+        depth = 2
+        if null is not None:
+            put("b = data[at]; at += 1", 2)
+            put(f"if b not in (0, 2): raise AvroError('no branch')\nif b == {2 * null}:\n    {f'a{i}(None)' if name in wanted else 'pass'}\nelse:", 2)
+            depth = 3
+        if kind in ("int", "long"):
+            put(_VARINT + (f"a{i}(n)" if name in wanted else ""), depth)
+        elif kind in ("string", "bytes"):
+            put(_VARINT + "if n < 0 or at + n > len(data): raise AvroError('the data end early')\n" + (f"a{i}(data[at:at + n])\n" if name in wanted else "") + "at += n", depth)
+        else:
+            put(takes[kind] + f"a{i}(v)" if name in wanted else steps[kind], depth)
+    lines.append("    if at != len(data): raise AvroError('rows and data differ')")
+    lines.append("    return {" + ", ".join(f"{name!r}: c{i}" for i, (name, _, _) in enumerate(fields) if name in wanted) + "}")
+    scope: dict[str, Any] = {"f4": struct.Struct("<f").unpack_from, "f8": struct.Struct("<d").unpack_from, "AvroError": AvroError}
+    exec("\n".join(lines), scope)  # made of the schema's places and kinds; names come in as literals only
+    return scope["decode"]
+
+
+def column_encoder(fields: list[tuple[str, str, int | None]]) -> Callable[..., list[bytes]]:
+    """A function made for a record: columns (lists; strings as bytes) to encoded rows."""
+    names = ", ".join(f"v{i}" for i in range(len(fields)))
+    lines = ["def encode(columns):", "    out = []", f"    for {names}{',' if len(fields) == 1 else ''} in zip(*columns):", "        p = []"]
+    for i, (name, kind, null) in enumerate(fields):
+        value = {"boolean": f"b'\\1' if v{i} else b'\\0'", "float": f"f4(v{i})", "double": f"f8(v{i})"}.get(kind, f"long(v{i})")
+        if kind in ("string", "bytes"):
+            puts = [f"p.append(long(len(v{i}))); p.append(v{i})"]
+        else:
+            puts = [f"p.append({value})"]
+        if null is None:
+            lines.append(f"        if v{i} is None: raise AvroError('null isn\\'t a branch')")
+            lines += [f"        {x}" for x in puts]
+        else:
+            lines.append(f"        if v{i} is None: p.append(b'\\x{2 * null:02x}')")
+            lines.append(f"        else: p.append(b'\\x{2 * (1 - null):02x}'); " + "; ".join(puts))
+    lines += ["        out.append(b''.join(p))", "    return out"]
+    cache = [write_long(n) for n in range(1 << 12)]
+    scope: dict[str, Any] = {"f4": struct.Struct("<f").pack, "f8": struct.Struct("<d").pack, "AvroError": AvroError, "long": lambda n: cache[n] if 0 <= n < 4096 else write_long(n)}
+    exec("\n".join(lines), scope)
+    return scope["encode"]
+
+
 # -- framed messages ---------------------------------------------------------------------------------------------
 
 

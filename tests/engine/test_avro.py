@@ -57,3 +57,47 @@ def test_unions_and_blocks():
     assert list(codec.read_rows(io.BytesIO(codec.to_bytes(s, rows)))) == rows
     r = codec.Reader(b"\x01\x02\x06\x00")  # an array block with a negative count and its size
     assert codec.decoder({"type": "array", "items": "int"})(r) == [3]
+
+
+def test_parts_share_no_block():
+    """However a file is cut into ranges, every block is read once."""
+    import io
+
+    schema = {"type": "record", "name": "r", "fields": [{"name": "i", "type": "long"}, {"name": "s", "type": ["null", "string"]}]}
+    out = io.BytesIO()
+    w = codec.FileWriter(out, schema, "null", block_bytes=60)
+    for i in range(200):
+        w.write({"i": i * 37 - 999, "s": None if i % 3 else "x" * (i % 50)})
+    w.flush()
+    data = out.getvalue()
+    want = list(codec.read_rows(io.BytesIO(data)))
+    assert len(want) == 200
+    for step in (7, 16, 50, 333, len(data)):
+        got = [r for at in range(0, len(data), step) for r in codec.read_rows(io.BytesIO(data), None, at, at + step)]
+        assert got == want, step
+
+
+@pytest.mark.parametrize("name", ["null", "deflate", "snappy", "zstandard", "lz4"])
+def test_columns_as_rows(name):
+    """The functions made for flat records agree with the general ones."""
+    import io
+
+    kinds = ["boolean", "int", "long", "float", "double", "string", "bytes"]
+    schema = {"type": "record", "name": "r", "fields": [{"name": k, "type": k} for k in kinds] + [{"name": f"n{k}", "type": ["null", k]} for k in kinds] + [{"name": f"m{k}", "type": [k, "null"]} for k in kinds]}
+    values = {"boolean": [True, False], "int": [0, -1, 2**31 - 1, -(2**31)], "long": [63, 64, -64, -65, 2**62, -(2**63)], "float": [0.5, -2.0], "double": [1e300, -0.0], "string": ["", "é" * 100, "x"], "bytes": [b"", b"\0\xff" * 90]}
+    rows = [{p + k: (None if p and i % 4 == 1 else values[k][i % len(values[k])]) for p in ("", "n", "m") for k in kinds} for i in range(50)]
+    data = codec.to_bytes(schema, rows, name)
+    fields = codec.flat_fields(codec.parse(schema))
+    (n, block), *more = codec.read_blocks(io.BytesIO(data))
+    assert n == 50 and not more
+    columns = codec.column_decoder(fields, frozenset(f for f, _, _ in fields))(block, n)
+    plain = lambda v: v.decode() if isinstance(v, bytes) else v
+    for f, k, _ in fields:
+        got = columns[f] if k != "string" else [None if v is None else plain(v) for v in columns[f]]
+        assert got == [r[f] for r in rows], f
+    some = codec.column_decoder(fields, frozenset({"long", "mstring"}))(block, n)
+    assert set(some) == {"long", "mstring"} and some["long"] == columns["long"] and some["mstring"] == columns["mstring"]
+    packed = codec.column_encoder(fields)([[v.encode() if isinstance(v, str) else v for v in (r[f] for r in rows)] for f, _, _ in fields])
+    assert b"".join(packed) == block
+    with pytest.raises((codec.AvroError, IndexError)):
+        codec.column_decoder(fields, frozenset())(block[:-1], n)
