@@ -1,28 +1,33 @@
 """A table kept as a log of actions: versions, merge-on-read deletes, change feed, checkpoints, schema features.
 
-The log holds JSON actions, one commit per file, created exclusively. Data files are Parquet; deleted rows are
-addressed by (file, row) in Parquet sidecars. Only actions and paths are handled on the driver.
+The log holds JSON actions, one commit per file, created exclusively, and checkpoints and deletion vectors in the public layouts. Data files are
+Parquet. Only actions and paths are handled on the driver.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.functions.registry import DEFAULT, Registry
 from tarnlake.operators import stats as st
-from tarnlake.operators.rows import BATCH, PATH, ROW, numbered, read_files, without
-from tarnlake.operators.storage import ConflictError, Store, now_ms
+from tarnlake.operators.rows import BATCH, PATH, ROW, numbered, read_files, read_placed, without
+from tarnlake.operators.storage import ConflictError, Entry, Store, now_ms
 from tarnlake.plans import compile as comp
 from tarnlake.plans.expr import Expr
 from tarnlake.plans.prune import ColumnStats, can_match, decision
+from tarnlake.sources import roaring
+from tarnlake.sources.avro import open_fs
 
 LOG = "_delta_log"
 READER, WRITER = 3, 7
@@ -35,6 +40,21 @@ WIDER = {"byte": ("short", "integer", "long", "double"), "short": ("integer", "l
 INTEGERS = {"byte": 3, "short": 5, "integer": 10, "long": 20}
 
 
+_VECTOR = "deletionVector:struct<storageType:string,pathOrInlineDv:string,offset:int,sizeInBytes:int,cardinality:long>"
+#: Columns of a checkpoint, by kind of action. Fixed values of the public layout.
+ACTION_TYPES = {
+    "protocol": "struct<minReaderVersion:int,minWriterVersion:int,readerFeatures:array<string>,writerFeatures:array<string>>",
+    "metaData": "struct<id:string,name:string,description:string,format:struct<provider:string,options:map<string,string>>,schemaString:string,partitionColumns:array<string>,configuration:map<string,string>,createdTime:long>",
+    "add": f"struct<path:string,partitionValues:map<string,string>,size:long,modificationTime:long,dataChange:boolean,stats:string,tags:map<string,string>,{_VECTOR},baseRowId:long,defaultRowCommitVersion:long>",
+    "remove": f"struct<path:string,deletionTimestamp:long,dataChange:boolean,extendedFileMetadata:boolean,partitionValues:map<string,string>,size:long,stats:string,{_VECTOR},baseRowId:long,defaultRowCommitVersion:long>",
+    "txn": "struct<appId:string,version:long,lastUpdated:long>",
+    "domainMetadata": "struct<domain:string,configuration:string,removed:boolean>",
+    "sidecar": "struct<path:string,sizeInBytes:long,modificationTime:long>",
+    "checkpointMetadata": "struct<version:long>",
+}
+ACTIONS = ", ".join(f"{k} {v}" for k, v in ACTION_TYPES.items())
+
+
 class ProtocolError(RuntimeError):
     """The table asks for what this engine doesn't do."""
 
@@ -72,9 +92,13 @@ class Snapshot:
         return self.metadata.get("configuration", {})
 
 
+def _records(action: Mapping) -> int | None:
+    return json.loads(action.get("stats") or "{}").get("numRecords")
+
+
 def file_key(action: Mapping) -> tuple:
     dv = action.get("deletionVector")
-    return action["path"], dv and dv["pathOrInlineDv"]
+    return action["path"], dv and f"{dv['storageType']}{dv['pathOrInlineDv']}@{dv.get('offset')}"
 
 
 def replay(base: Snapshot | None, version: int, actions: Sequence[Mapping]) -> Snapshot:
@@ -105,20 +129,23 @@ def replay(base: Snapshot | None, version: int, actions: Sequence[Mapping]) -> S
 
 def snapshot_actions(s: Snapshot) -> list[dict]:
     return [
-        {"protocol": s.protocol}, {"metaData": s.metadata}, {"commitInfo": {"inCommitTimestamp": s.timestamp}},
+        {"protocol": s.protocol}, {"metaData": s.metadata},
         *({"txn": {"appId": k, "version": v}} for k, v in s.txns.items()), *({"domainMetadata": {"domain": k, "configuration": v, "removed": False}} for k, v in s.domains.items()),
         *({"add": a} for a in s.files.values()), *({"remove": r} for r in s.gone.values()),
     ]
 
 
+def compat(s: Snapshot) -> list[str]:
+    """The snapshot-table compatibility modes that are on."""
+    return [v for v in ("V1", "V2") if s.config.get(f"delta.enableIcebergCompat{v}") == "true"]
+
+
 def check_compat(s: Snapshot, schema: T.StructType) -> None:
     """What the snapshot-table compatibility modes ask for."""
-    for version in ("V1", "V2"):
-        if s.config.get(f"delta.enableIcebergCompat{version}") != "true":
-            continue
+    for version in compat(s):
         if s.config.get("delta.columnMapping.mode", "none") == "none":
             raise ProtocolError(f"compat {version} needs column mapping")
-        if s.config.get("delta.enableDeletionVectors") == "true":
+        if s.config.get("delta.enableDeletionVectors") == "true" or "deletionVectors" in s.protocol.get("writerFeatures", []) or any(a.get("deletionVector") for a in s.files.values()):
             raise ProtocolError(f"compat {version} excludes deletion vectors")
         kinds = {f.dataType.typeName() for f in schema.fields}
         if "void" in kinds or version == "V1" and kinds & {"map", "array"}:
@@ -138,6 +165,8 @@ class LogTable:
         if unknown := set(partition_by) - set(schema.fieldNames()):
             raise ValueError(f"no partition columns {sorted(unknown)}")
         features = {"deletionVectors", "inCommitTimestamp", "domainMetadata"}
+        if on := compat(Snapshot(-1, {}, {"configuration": config}, {})):
+            features = features - {"deletionVectors"} | {f"icebergCompat{v}" for v in on}
         if mapping not in ("none", "id", "name"):
             raise ValueError("mapping: none, id or name")
         if mapping != "none":
@@ -239,27 +268,71 @@ class LogTable:
         return version
 
     def checkpoint(self, parts: int = 1, v2: bool = False) -> int:
-        """Write the whole state, deletion vectors and tombstones included. v2: files go to sidecars that a small main file names."""
+        """Write the whole state, tombstones included, in the public layout: one file or several. v2: files go to sidecars that a small main file names."""
         s = self.current
-        rows = [(k, json.dumps(b)) for a in snapshot_actions(s) for k, b in a.items()]
-        target = f"{LOG}/{s.version:020d}.checkpoint"
-        main = [r for r in rows if not v2 or r[0] not in ("add", "remove")]
-        sidecars = []
+        name = f"{LOG}/{s.version:020d}.checkpoint"
+        actions = snapshot_actions(s)
+        info = {"version": s.version, "size": len(actions)}
         if v2:
-            sidecars = [f"{LOG}/_sidecars/{uuid.uuid4()}.parquet"]
-            self.spark.createDataFrame([r for r in rows if r[0] in ("add", "remove")], "kind string, body string").repartition(parts).write.parquet(self.store.uri(sidecars[0]))
-        self.spark.createDataFrame(main, "kind string, body string").repartition(parts).write.mode("overwrite").parquet(self.store.uri(target))
-        self.store.write(f"{LOG}/_last_checkpoint", json.dumps({"version": s.version, "path": target, "sidecars": sidecars, "size": len(rows)}))
+            inside = [a for a in actions if not a.keys() & {"add", "remove"}]
+            sidecars = self._write_actions([a for a in actions if a.keys() & {"add", "remove"}], [f"{LOG}/_sidecars/{uuid.uuid4()}.parquet" for _ in range(parts)])
+            inside += [{"checkpointMetadata": {"version": s.version}}, *({"sidecar": {"path": e.path.rpartition("/")[2], "sizeInBytes": e.size, "modificationTime": e.modified}} for e in sidecars)]
+            self._write_actions(inside, [f"{name}.{uuid.uuid4()}.parquet"])
+        elif parts > 1:
+            self._write_actions(actions, [f"{name}.{k:010d}.{parts:010d}.parquet" for k in range(1, parts + 1)])
+            info["parts"] = parts
+        else:
+            self._write_actions(actions, [f"{name}.parquet"])
+        self.store.write(f"{LOG}/_last_checkpoint", json.dumps(info))
         return s.version
 
+    def _write_actions(self, actions: Sequence[Mapping], names: Sequence[str]) -> list[Entry]:
+        """Actions as Parquet files of those names, a column to each kind."""
+        stage = f"{LOG}/_stage-{uuid.uuid4().hex}"
+        rows = [json.dumps(a) for a in actions]
+        df = self.spark.createDataFrame([(r, k % len(names)) for k, r in enumerate(rows)], "body string, part int").select("part", F.from_json("body", ACTIONS).alias("a"))
+        df.repartitionByRange(len(names), "part").select("a.*").write.parquet(self.store.uri(stage))
+        found = [e.path for e in self.store.walk(stage) if e.path.endswith(".parquet")]
+        for e, name in zip(found, names, strict=False):
+            self.store.move(e, name)
+        for name in names[len(found) :]:  # parts without rows
+            self.spark.createDataFrame([], ACTIONS).coalesce(1).write.parquet(self.store.uri(f"{stage}/empty"))
+            self.store.move(next(e.path for e in self.store.walk(f"{stage}/empty") if e.path.endswith(".parquet")), name)
+            self.store.delete(f"{stage}/empty")
+        self.store.delete(stage)
+        return [e for e in self.store.walk(LOG) if e.path in set(names)]
+
+    def _checkpoints(self) -> dict[int, list[str]]:
+        """Complete checkpoints by version: their main files."""
+        out: dict[int, list[str]] = {}
+        several: dict[tuple[int, int], list[str]] = {}
+        for n in self.store.names(LOG):
+            m = re.fullmatch(r"(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10})|\.([0-9a-f-]{36}))?\.(parquet|json)", n)
+            if m and m[2]:
+                several.setdefault((int(m[1]), int(m[3])), []).append(n)
+            elif m:
+                out.setdefault(int(m[1]), [n])
+        return out | {v: names for (v, many), names in several.items() if len(names) == many}
+
     def _from_checkpoint(self, goal: int) -> Snapshot | None:
-        if not self.store.exists(f"{LOG}/_last_checkpoint"):
+        found = {v: names for v, names in self._checkpoints().items() if v <= goal}
+        if not found:
             return None
-        info = self.store.read_json(f"{LOG}/_last_checkpoint")
-        if info["version"] > goal:
-            return None
-        rows = self.spark.read.schema("kind string, body string").parquet(*map(self.store.uri, [info["path"], *info["sidecars"]])).collect()
-        return replay(None, info["version"], [{r["kind"]: json.loads(r["body"])} for r in rows])
+        version = max(found)
+        actions = self._read_actions([f"{LOG}/{n}" for n in found[version]])
+        if sidecars := [a["sidecar"]["path"] for a in actions if "sidecar" in a]:
+            actions += self._read_actions([f"{LOG}/_sidecars/{p}" for p in sidecars])
+        if f"{version:020d}.json" in self.store.names(LOG):  # checkpoints carry no times
+            actions += [a for a in self.commit_actions(version) if "commitInfo" in a]
+        return replay(None, version, [a for a in actions if not a.keys() & {"sidecar", "checkpointMetadata"}])
+
+    def _read_actions(self, paths: Sequence[str]) -> list[dict]:
+        if paths[0].endswith(".json"):
+            return [json.loads(line) for p in paths for line in self.store.read(p).splitlines() if line]
+        df = self.spark.read.parquet(*map(self.store.uri, paths))
+        kinds = [c for c in df.columns if c in ACTION_TYPES]
+        rows = df.select(*[F.to_json(F.col(c)).alias(c) for c in kinds]).collect()
+        return [{c: json.loads(r[c])} for r in rows for c in kinds if r[c] is not None]
 
     def _compacted(self) -> list[tuple[int, int]]:
         return sorted(((int(n[:20]), int(n[21:41])) for n in self.store.names(LOG) if n.endswith(".compacted.json")), key=lambda x: (x[0], -x[1]))
@@ -327,7 +400,7 @@ class LogTable:
     def files_frame(self, s: Snapshot) -> DataFrame:
         """Live files with typed statistics: path, dv, rows, and a struct per column."""
         names, schema = self.physical(s), s.schema
-        rows = [(a["path"], (a.get("deletionVector") or {}).get("pathOrInlineDv"), json.loads(a.get("stats") or "{}").get("numRecords"), a["partitionValues"], a.get("stats") or "{}") for a in s.files.values()]
+        rows = [(a["path"], (a.get("deletionVector") or {}).get("pathOrInlineDv"), _records(a), a["partitionValues"], a.get("stats") or "{}") for a in s.files.values()]
         df = self.spark.createDataFrame(rows, "path string, dv string, rows long, parts map<string,string>, stats string")
         data = [f for f in schema.fields if f.name not in s.partitions and st.has_bounds(f.dataType)]
         bounds = T.StructType([T.StructField(names[f.name], f.dataType) for f in data])
@@ -372,25 +445,58 @@ class LogTable:
         kept = {r["path"] for r in frame.filter(can_match(filter_, s.schema, F.col("rows"), self._accessor(frame))).select("path").collect()}
         return [a for a in s.files.values() if a["path"] in kept]
 
+    def count(self) -> int:
+        """Live rows, by the statistics and the deletion vectors of the log."""
+        if any(_records(a) is None for a in self.current.files.values()):
+            return self.read().count()
+        return sum(_records(a) - (a.get("deletionVector") or {}).get("cardinality", 0) for a in self.current.files.values())
+
     def decisions(self, filter_: Expr, snapshot: Snapshot | None = None) -> DataFrame:
         s = snapshot or self.current
         frame = self.files_frame(s)
-        return frame.select("path", decision(filter_, s.schema, F.col("rows"), self._accessor(frame)).alias("decision"))
+        return frame.select("path", "rows", decision(filter_, s.schema, F.col("rows"), self._accessor(frame)).alias("decision"))
 
     def _deleted(self, adds: Sequence[Mapping]) -> DataFrame | None:
-        pairs = [(a["path"], a["deletionVector"]["pathOrInlineDv"]) for a in adds if a.get("deletionVector")]
-        if not pairs:
+        """(path, row) of the rows that deletion vectors name; the vectors are read and unpacked where the tasks run."""
+        found = [(a["path"], v["storageType"], v["pathOrInlineDv"], v.get("offset") or 0, v["sizeInBytes"]) for a in adds if (v := a.get("deletionVector"))]
+        if not found:
             return None
-        folders = sorted({dv for _, dv in pairs})
-        rows = self.spark.read.schema("path string, row long, _dv string").option("basePath", self.store.uri("dv")).parquet(*map(self.store.uri, folders))
-        current = self.spark.createDataFrame([(p, dv.removeprefix("dv/_dv=")) for p, dv in pairs], "path string, _dv string")
-        return rows.join(current, ["path", "_dv"], "left_semi").select("path", "row")
+        root = self.store.root
+        files = self.spark.createDataFrame(found, "path string, kind string, place string, offset int, size int")
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path, kind, place, offset, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if kind == "i":
+                        rows = roaring.decode(roaring.z85_decode(place, size))
+                    else:
+                        fs, at = open_fs(place if kind == "p" else f"{root}/{roaring.vector_path(place)}")
+                        with fs.open_input_file(at) as f:
+                            f.seek(offset)
+                            rows = roaring.read_vector(f.read(size + 8), 0, size)
+                    for lo in range(0, len(rows), 100_000):
+                        own = rows[lo : lo + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(own), pa.string()), pa.array(own)], names=["path", "row"])
+
+        return files.repartition(min(len(found), 200)).mapInArrow(unpack, "path string, row long")
 
     def _live(self, s: Snapshot, adds: Sequence[Mapping], addresses: bool = False) -> DataFrame:
-        """Live rows of some files under their logical names."""
-        deleted = self._deleted(adds)
-        df = without(read_files(self.store, self.spark, [a["path"] for a in adds], self._physical_schema(s), addresses or deleted is not None), deleted)
-        names = self.physical(s)
+        """Live rows of some files under their logical names. Only files that have a deletion vector are joined with it."""
+        names, df = self.physical(s), None
+        own = lambda a: a["path"].startswith(f"data/{BATCH}=")
+        for marked in (False, True):
+            for ours in (True, False):  # files that others wrote lie where they like
+                some = [a for a in adds if bool(a.get("deletionVector")) == marked and own(a) == ours]
+                if not some and (marked or not ours or len(adds)):
+                    continue
+                if ours:
+                    part = read_files(self.store, self.spark, [a["path"] for a in some], self._physical_schema(s), addresses or marked)
+                else:
+                    part = read_placed(self.store, self.spark, [(a["path"], a["partitionValues"]) for a in some], self._physical_schema(s), [names[p] for p in s.partitions], addresses or marked)
+                if marked:
+                    part = without(part, self._deleted(some))
+                    part = part if addresses else part.drop(PATH, ROW)
+                df = part if df is None else df.unionByName(part)
         return df.select(*[F.col(f"`{names[f.name]}`").alias(f.name) for f in s.schema.fields], *([PATH, ROW] if addresses else []))
 
     def read(self, columns: list[str] | None = None, filter_: Expr | None = None, version: int | None = None, timestamp: int | None = None) -> DataFrame:
@@ -406,9 +512,11 @@ class LogTable:
 
     # -- writing ------------------------------------------------------------------------------------------
 
-    def _stats(self, files: DataFrame, schema: T.StructType) -> dict[str, str]:
-        out = {}
-        for r in files.groupBy(PATH).agg(*st.aggregates(schema)).collect():  # one row per file
+    def _stats(self, files: DataFrame, schema: T.StructType, parts: Sequence[str]) -> tuple[dict[str, str], dict[str, dict]]:
+        """Statistics and partition values of each file, in one pass."""
+        out, values = {}, {}
+        for r in files.groupBy(PATH).agg(*st.aggregates(schema), *[F.first(F.col(f"`{p}`").cast("string")).alias(p) for p in parts]).collect():  # one row per file
+            values[r[PATH]] = {p: r[p] for p in parts}
             low, high, nulls, nans, inexact = {}, {}, {}, {}, []
             for f in schema.fields:
                 c = r[f.name].asDict()
@@ -418,7 +526,7 @@ class LogTable:
                     if not c["exact"]:
                         inexact.append(f.name)
             out[r[PATH]] = json.dumps({"numRecords": r["rows"], "minValues": low, "maxValues": high, "nullCount": nulls, "nanCount": nans, "inexact": inexact, "tightBounds": True})
-        return out
+        return out, values
 
     def _write_files(self, s: Snapshot, df: DataFrame, data_change: bool = True) -> list[dict]:
         """Write rows (logical names) as new files; gives their add actions."""
@@ -429,11 +537,7 @@ class LogTable:
         (out.write.partitionBy(*parts) if parts else out.write).parquet(self.store.uri(folder))
         found = [e for e in self.store.walk(folder) if e.path.endswith(".parquet")]
         data = T.StructType([f for f in self._physical_schema(s).fields if f.name not in parts])
-        stats = self._stats(read_files(self.store, self.spark, [e.path for e in found], self._physical_schema(s), True), data) if found else {}
-        values: dict[str, dict] = {e.path: {} for e in found}
-        if parts and found:
-            rows = read_files(self.store, self.spark, [e.path for e in found], self._physical_schema(s), True).groupBy(PATH).agg(*[F.first(F.col(f"`{p}`").cast("string")).alias(p) for p in parts]).collect()
-            values = {r[PATH]: {p: r[p] for p in parts} for r in rows}
+        stats, values = self._stats(read_files(self.store, self.spark, [e.path for e in found], self._physical_schema(s), True), data, parts) if found else ({}, {})
         high = int(json.loads(s.domains.get("delta.rowTracking", '{"rowIdHighWaterMark": -1}'))["rowIdHighWaterMark"]) + 1
         adds = []
         for e in found:
@@ -516,30 +620,53 @@ class LogTable:
         return [{"cdc": {"path": folder, "partitionValues": {}, "size": sum(e.size for e in self.store.walk(folder)), "dataChange": False}}]
 
     def delete(self, filter_: Expr | Column) -> tuple[int, int]:
-        """Mark matching rows deleted; rows where the predicate is null stay. Returns rows and version; without matches nothing is committed."""
+        """Mark matching rows deleted; rows where the predicate is null stay. Returns rows and version; without matches nothing is committed.
+        Where a compatibility mode excludes deletion vectors the files are written anew without the rows."""
         s = self.current
         if s.config.get("delta.appendOnly") == "true":
             raise ProtocolError("the table is append-only")
         candidates, matched = self._matches(s, filter_)
-        vector = uuid.uuid4().hex
-        folder = f"dv/_dv={vector}"
+        if compat(s):
+            return self._delete_by_rewrite(s, candidates, matched, filter_)
         rows = matched.select(F.col(PATH).alias("path"), F.col(ROW).alias("row"))
         before = self._deleted(candidates)
         marked = rows.withColumn("new", F.lit(True))
         if before is not None:
             marked = marked.unionByName(before.join(rows.select("path").distinct(), "path", "left_semi").withColumn("new", F.lit(False)))
-        marked.repartition("path").write.parquet(self.store.uri(folder))
-        counts = {r["path"]: r for r in self.spark.read.schema("path string, row long, new boolean").parquet(self.store.uri(folder)).groupBy("path").agg(F.count("*").alias("n"), F.sum(F.col("new").cast("long")).alias("fresh")).collect()}
-        if not counts:
-            self.store.delete(folder)
+        root = self.store.root
+
+        def pack(group: pa.Table) -> pa.Table:
+            """One file's rows as a deletion vector in a file of its own. A task that is run again writes another one; vacuum takes the first."""
+            own = uuid.uuid4()
+            data = roaring.encode(group["row"].to_numpy())
+            fs, at = open_fs(f"{root}/deletion_vector_{own}.bin")
+            with fs.open_output_stream(at) as f:
+                f.write(roaring.vector_file(data))
+            out = {"path": [group["path"][0].as_py()], "place": [roaring.z85_encode(own.bytes)], "size": [len(data)], "n": [group.num_rows], "fresh": [pc.sum(group["new"].cast(pa.int64())).as_py()]}
+            return pa.table(out, pa.schema([("path", pa.string()), ("place", pa.string()), ("size", pa.int32()), ("n", pa.int64()), ("fresh", pa.int64())]))
+
+        vectors = {r["path"]: r for r in marked.groupBy("path").applyInArrow(pack, "path string, place string, size int, n long, fresh long").collect()}  # one row per file
+        if not vectors:
             return 0, s.version
         actions: list[dict] = self._cdc(s, matched.drop(PATH, ROW).withColumn("_change_type", F.lit("delete")))
         for a in candidates:
-            if a["path"] in counts:
-                actions.append(self._remove(a))
-                if counts[a["path"]]["n"] < json.loads(a["stats"])["numRecords"]:
-                    actions.append({"add": {**a, "dataChange": True, "deletionVector": {"storageType": "p", "pathOrInlineDv": folder, "cardinality": counts[a["path"]]["n"]}}})
-        return sum(r["fresh"] for r in counts.values()), self._commit(s, "DELETE", actions)
+            if (v := vectors.get(a["path"])) is None:
+                continue
+            actions.append(self._remove(a))
+            if v["n"] != _records(a):
+                actions.append({"add": {**a, "dataChange": True, "deletionVector": {"storageType": "u", "pathOrInlineDv": v["place"], "offset": 1, "sizeInBytes": v["size"], "cardinality": v["n"]}}})
+        return sum(v["fresh"] for v in vectors.values()), self._commit(s, "DELETE", actions)
+
+    def _delete_by_rewrite(self, s: Snapshot, candidates: Sequence[Mapping], matched: DataFrame, filter_: Expr | Column) -> tuple[int, int]:
+        touched = {r[PATH]: r["n"] for r in matched.groupBy(PATH).agg(F.count("*").alias("n")).collect()}  # one row per file
+        if not touched:
+            return 0, s.version
+        adds = [a for a in candidates if a["path"] in touched]
+        hit = F.coalesce(comp.predicate(filter_, s.schema, self.registry) if isinstance(filter_, Expr) else filter_, F.lit(False))
+        written = self._write_files(s, self._live(s, adds).filter(~hit))
+        cdc = self._cdc(s, matched.drop(PATH, ROW).withColumn("_change_type", F.lit("delete")))
+        actions = [*(self._remove(a) for a in adds), *({"add": a} for a in written), *cdc, *self._tracking(s)]
+        return sum(touched.values()), self._commit(s, "DELETE", actions)
 
     def update(self, filter_: Expr | Column, assignments: Mapping[str, Expr | Column]) -> tuple[int, int]:
         """Rewrite the files with matching rows; assigned expressions see the old row."""
@@ -566,9 +693,10 @@ class LogTable:
 
     def changes(self, start: int, end: int) -> DataFrame:
         """Rows inserted, deleted and updated by the commits from start to end, with _change_type, _commit_version and _commit_timestamp."""
-        frames = []
+        frames, s = [], self.snapshot(start)
         for v in range(start, end + 1):
-            s, actions = self.snapshot(v), self.commit_actions(v)
+            actions = self.commit_actions(v)
+            s = s if v == start else replay(s, v, actions)
             stamp = next((a["commitInfo"]["inCommitTimestamp"] for a in actions if "commitInfo" in a), None)
             tag = lambda df, kind, v=v, stamp=stamp: df.withColumns({**({"_change_type": F.lit(kind)} if kind else {}), "_commit_version": F.lit(v).cast("long"), "_commit_timestamp": F.timestamp_millis(F.lit(stamp))})
             kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.schema.fields)
@@ -602,8 +730,9 @@ class LogTable:
         if not chosen:
             return None
         pieces = max(1, -(-sum(a["size"] for a in chosen) // target))
-        df = self._live(s, chosen)
-        df = df.repartition(*s.partitions, F.floor(F.rand(0) * pieces)) if s.partitions else df.coalesce(pieces) if pieces == 1 else df.repartition(pieces)
+        # dealt by address, so that a task that is run again gets the same rows
+        place = F.pmod(F.xxhash64(PATH, ROW), F.lit(pieces))
+        df = self._live(s, chosen, True).repartition(*([max(pieces, 1)] if not s.partitions else []), *s.partitions, place).drop(PATH, ROW)
         adds = self._write_files(s, df, data_change=False)
         return self._commit(s, "OPTIMIZE", [*(self._remove(a, False) for a in chosen), *({"add": a} for a in adds), *self._tracking(s)])
 
@@ -614,9 +743,10 @@ class LogTable:
         horizon = now_ms() - retain_ms
         alive = [*s.files.values(), *(r for r in s.gone.values() if r.get("deletionTimestamp", 0) > horizon)]
         keep = {a["path"] for a in alive}
-        vectors = {a["deletionVector"]["pathOrInlineDv"] for a in alive if a.get("deletionVector")}
+        vectors = {roaring.vector_path(v["pathOrInlineDv"]) for a in alive if (v := a.get("deletionVector")) and v["storageType"] == "u"}
         old = [e.path for e in self.store.walk("data") if e.path.endswith(".parquet") and e.path not in keep and e.modified <= horizon]
-        old += [e.path for e in self.store.walk("dv") if e.path.endswith(".parquet") and e.path.rpartition("/")[0] not in vectors and e.modified <= horizon]
+        old += [e.path for e in self.store.walk("_change_data") if e.modified <= horizon]
+        old += [n for n in self.store.names("") if n.startswith("deletion_vector_") and n.endswith(".bin") and n not in vectors and self.store.modified(n) <= horizon]
         for p in [] if dry_run else old:
             self.store.delete(p)
         return old

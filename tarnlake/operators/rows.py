@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,22 @@ BATCH = "_batch"
 PATH, ROW = "__path", "__row"
 
 
-def relative(column: Column) -> Column:
+def relative(store: Store, column: Column) -> Column:
     """Path below the table's root, URI-encoded."""
-    return F.regexp_extract(column, rf"/(data/{BATCH}=.*)$", 1)
+    root = urlparse(store.root).path.rstrip("/") + "/"
+    return F.substr(column, F.locate(root, column) + F.lit(len(root)))
+
+
+def read_placed(store: Store, spark: SparkSession, files: Sequence[tuple[str, dict[str, str | None]]], schema: T.StructType, partitions: Sequence[str], addresses: bool = False) -> DataFrame:
+    """Rows of files that lie anywhere below the table: their partition values come with their paths, not from folders."""
+    own = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields if f.name not in partitions])
+    df = spark.read.schema(own).option("recursiveFileLookup", "true").parquet(*[store.uri(p) for p, _ in files])
+    df = df.select("*", relative(store, F.col("_metadata.file_path")).alias(PATH), F.col("_metadata.row_index").alias(ROW))
+    if partitions:
+        values = spark.createDataFrame([(p, *[v.get(c) for c in partitions]) for p, v in files], T.StructType([T.StructField(PATH, T.StringType()), *(T.StructField(c, T.StringType()) for c in partitions)]))
+        df = df.join(values, PATH)
+    names = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in partitions else F.col(f"`{f.name}`") for f in schema.fields]
+    return df.select(*names, *([PATH, ROW] if addresses else []))
 
 
 def read_files(store: Store, spark: SparkSession, paths: Sequence[str], schema: T.StructType, addresses: bool = False, partitioned: bool = True) -> DataFrame:
@@ -31,7 +45,7 @@ def read_files(store: Store, spark: SparkSession, paths: Sequence[str], schema:
     reader = spark.read.schema(full).option("basePath", store.uri("data")) if partitioned else spark.read.schema(T.StructType(fields)).option("recursiveFileLookup", "true")
     df = reader.parquet(*map(store.uri, paths))
     names = [F.col(f"`{f.name}`") for f in fields]
-    return df.select(*names, relative(F.col("_metadata.file_path")).alias(PATH), F.col("_metadata.row_index").alias(ROW)) if addresses else df.select(*names)
+    return df.select(*names, relative(store, F.col("_metadata.file_path")).alias(PATH), F.col("_metadata.row_index").alias(ROW)) if addresses else df.select(*names)
 
 
 def without(df: DataFrame, deleted: DataFrame | None) -> DataFrame:

@@ -5,13 +5,18 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import threading
 import time
 import uuid
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+#: File systems whose rename is atomic and refuses a target that exists.
+RENAMES = frozenset({"hdfs", "viewfs", "webhdfs", "ofs", "o3fs", "abfs", "abfss"})
+
 
 class ConflictError(RuntimeError):
     """Somebody else committed first."""
@@ -71,11 +76,28 @@ class Store:
             return
         if self.exists(rel):
             raise ConflictError(rel)
-        temporary = f"{rel}.{uuid.uuid4().hex}.tmp"
-        self.write(temporary, text)
-        if not self.fs.rename(self.at(temporary), self.at(rel)):
-            self.delete(temporary)
-            raise ConflictError(rel)
+        if urlparse(self.root).scheme in RENAMES:
+            temporary = f"{rel}.{uuid.uuid4().hex}.tmp"
+            self.write(temporary, text)
+            if not self.fs.rename(self.at(temporary), self.at(rel)):
+                self.delete(temporary)
+                raise ConflictError(rel)
+            return
+        # an object appears when its stream is closed; the store refuses a second one of that name
+        try:
+            stream = self.fs.createFile(self.at(rel)).overwrite(False).recursive().opt("fs.option.create.conditional.overwrite", "true").build()
+            stream.write(bytearray(text.encode()))
+            stream.close()
+        except Py4JJavaError as e:
+            raise ConflictError(rel) from e
+
+    def move(self, old: str, new: str) -> None:
+        self.fs.mkdirs(self.at(new).getParent())
+        if not self.fs.rename(self.at(old), self.at(new)):
+            raise ConflictError(new)
+
+    def modified(self, rel: str) -> int:
+        return self.fs.getFileStatus(self.at(rel)).getModificationTime()
 
     def names(self, rel: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at(rel))) if self.exists(rel) else []
@@ -98,6 +120,44 @@ class Store:
         return json.loads(self.read(rel))
 
 
+class MemoryStore:
+    """A store whose files live in this process; uri() points below a root where tables keep their data."""
+
+    def __init__(self, root: str) -> None:
+        self.root, self._files, self._lock = root.rstrip("/"), {}, threading.Lock()
+
+    def uri(self, rel: str) -> str:
+        return f"{self.root}/{rel}" if rel else self.root
+
+    def exists(self, rel: str) -> bool:
+        return rel in self._files or bool(self.names(rel))
+
+    def read(self, rel: str) -> str:
+        if rel not in self._files:
+            raise FileNotFoundError(rel)
+        return self._files[rel]
+
+    def write(self, rel: str, text: str) -> None:
+        self._files[rel] = text
+
+    def create(self, rel: str, text: str) -> None:
+        with self._lock:
+            if rel in self._files:
+                raise ConflictError(rel)
+            self._files[rel] = text
+
+    def names(self, rel: str) -> list[str]:
+        below = f"{rel}/" if rel else ""
+        return sorted({p.removeprefix(below).split("/")[0] for p in self._files if p.startswith(below)})
+
+    def delete(self, rel: str) -> None:
+        for p in [p for p in self._files if p == rel or p.startswith(f"{rel}/")]:
+            del self._files[p]
+
+    def read_json(self, rel: str) -> dict:
+        return json.loads(self.read(rel))
+
+
 def now_ms() -> int:
     return int(time.time() * 1000)
 
@@ -106,6 +166,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or, where that is unset, a local temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tarnlake/{name}-{uuid.uuid4().hex}"
