@@ -21,6 +21,8 @@ from tarnlake.operators.storage import Store, now_ms
 from tarnlake.plans import compile as comp
 from tarnlake.plans.expr import All, Any_, Compare, Const, Expr, In, Lit, Ref
 
+#: Rows that a rewritten fragment has at most.
+FRAGMENT_ROWS = 4_000_000
 VERSIONS = "_versions"
 
 
@@ -183,7 +185,7 @@ class FragmentTable:
         return n
 
     def update(self, filter_: Expr | Column, assignments: Mapping[str, Expr | Column]) -> tuple[int, int]:
-        """Tombstone matching rows and write them, changed, as one fragment. Expressions see the old row."""
+        """Tombstone matching rows and write them, changed, as new fragments. Expressions see the old row."""
         m = self.manifest
         if unknown := set(assignments) - set(self.schema.fieldNames()):
             raise KeyError(", ".join(sorted(unknown)))
@@ -193,16 +195,16 @@ class FragmentTable:
         marked, n = self._tombstone(m, found.select(F.col(PATH).alias("path"), F.col(ROW).alias("row")))
         if not n:
             return 0, m.version
-        added, next_ = self._fragments(m, changed, 1)
+        added, next_ = self._fragments(m, changed, -(-n // FRAGMENT_ROWS))
         return n, self._commit(m, replace(marked, fragments=marked.fragments + added, next_fragment=next_), "update")
 
     def compact(self) -> int | None:
-        """Rewrite the fragments that have deletions as one."""
+        """Rewrite the fragments that have deletions, as fragments of at most FRAGMENT_ROWS rows."""
         m = self.manifest
         holed = [f for f in m.fragments if f.deleted]
         if not holed:
             return None
-        added, next_ = self._fragments(m, self._rows(holed), 1)
+        added, next_ = self._fragments(m, self._rows(holed), -(-sum(f.rows - f.deleted for f in holed) // FRAGMENT_ROWS) or 1)
         return self._commit(m, replace(m, fragments=tuple(f for f in m.fragments if not f.deleted) + added, next_fragment=next_, indices={}), "compact")
 
     def vacuum(self, keep: int = 1, dry_run: bool = False) -> list[str]:
@@ -263,7 +265,7 @@ class FragmentTable:
             sets = [self._known(p) for p in e.parts]
             return None if None in sets else set().union(*sets)
         if isinstance(e, In) and isinstance(e.part, Ref):
-            return self._known(Any_(tuple(Compare("=", e.part, v) for v in e.values if v.value is not None))) if any(v.value is not None for v in e.values) else set()
+            return self._known_values(e.part.name, [v for v in e.values if v.value is not None])
         if not (isinstance(e, Compare) and isinstance(e.left, Ref) and isinstance(e.right, Lit) and e.right.value is not None):
             return None
         v, bounds = e.right.value, {"=": (1, 1), "<=>": (1, 1), "<": (0, 1), "<=": (0, 1), ">": (1, 0), ">=": (1, 0)}.get(e.op)
@@ -276,6 +278,19 @@ class FragmentTable:
             return {r["fragment"] for r in found.select("fragment").distinct().collect()} | {f.id for f in self.manifest.fragments if f.id not in info["fragments"]}
         return None
 
+    def _known_values(self, column: str, values: Sequence[Lit]) -> set[int] | None:
+        """Fragments that can hold one of the values, by one lookup."""
+        for info in self.manifest.indices.values():
+            if info["column"] != column:
+                continue
+            fitting = [comp.literal(v)[0] for v in values if comp.comparable(comp.literal(v)[1], self.schema[column].dataType)]
+            if not fitting:
+                return set()
+            df = self.spark.read.parquet(self.store.uri(info["path"])).filter(F.col("value").isin(*fitting))
+            found = df.select(F.explode("fragments").alias("fragment") if info["kind"] == "bitmap" else "fragment").distinct().collect()
+            return {r["fragment"] for r in found} | {f.id for f in self.manifest.fragments if f.id not in info["fragments"]}
+        return None
+
     def plan(self, filter_: Expr | None) -> list[Fragment]:
         known = self._known(filter_) if isinstance(filter_, Expr) and self.manifest.indices else None
         return [f for f in self.manifest.fragments if known is None or f.id in known]
