@@ -12,17 +12,25 @@ from tarnlake.plans import compile as comp
 from tarnlake.plans.expr import Expr
 
 
+def with_settings(spark: SparkSession, settings: Mapping[str, object]) -> SparkSession:
+    """A session like this one, over the same context, that has settings of its own."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for k, v in settings.items():
+        own.conf.set(k, str(v))
+    return own
+
+
 def scan_parquet(spark: SparkSession, *paths: str, columns: Sequence[str] | None = None, filter_: Expr | None = None, batch_rows: int | None = None, verify_checksums: bool = False) -> DataFrame:
     """Projection and filter reach the scan, which skips row groups and pages by statistics and Bloom filters; the filter is then exact. Dotted names reach into structs."""
     if batch_rows:
-        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(batch_rows))
+        spark = with_settings(spark, {"spark.sql.parquet.columnarReaderBatchSize": batch_rows})
     reader = spark.read.option("parquet.page.verify-checksum.enabled", str(verify_checksums).lower())
     return comp.apply(reader.parquet(*paths), filter_, list(columns) if columns is not None else None)
 
 
 def scan_orc(spark: SparkSession, *paths: str, columns: Sequence[str] | None = None, filter_: Expr | None = None, batch_rows: int | None = None) -> DataFrame:
     if batch_rows:
-        spark.conf.set("spark.sql.orc.columnarReaderBatchSize", str(batch_rows))
+        spark = with_settings(spark, {"spark.sql.orc.columnarReaderBatchSize": batch_rows})
     return comp.apply(spark.read.orc(*paths), filter_, list(columns) if columns is not None else None)
 
 
@@ -62,11 +70,21 @@ def parquet_metadata(path: str) -> dict:
 
 
 def orc_metadata(path: str) -> dict:
+    """What a footer says. Rows by stripe are asked of Spark's own ORC reader, where a session is active."""
     from pyarrow import orc
 
     with _file(path) as f:
         o = orc.ORCFile(f)
-        return {"rows": o.nrows, "stripes": o.nstripes, "compression": str(o.compression), "schema": str(o.schema), "row_index_stride": o.row_index_stride, "stripe_rows": [o.read_stripe(i, columns=[o.schema.names[0]]).num_rows for i in range(o.nstripes)]}
+        out = {"rows": o.nrows, "stripes": o.nstripes, "compression": str(o.compression), "schema": str(o.schema), "row_index_stride": o.row_index_stride, "metadata": {k.decode(): v.decode("utf-8", "replace") for k, v in (o.metadata or {}).items()}}
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        try:
+            out["stripe_rows"] = [s.getNumberOfRows() for s in reader.getStripes()]
+        finally:
+            reader.close()
+    return out
 
 
 def candidate_groups(path: str, column: str, *values: object) -> list[int]:
@@ -79,6 +97,62 @@ def candidate_groups(path: str, column: str, *values: object) -> list[int]:
     return out
 
 
+def bloom_groups(spark: SparkSession, path: str, column: str, *values: int | float | str | bytes) -> list[int]:
+    """Row groups whose bounds and Bloom filters allow one of the values; groups without a filter go by their bounds. Only the footer
+    and the filters are read."""
+    import struct
+
+    import xxhash
+
+    jvm, kept, out = spark._jvm, set(candidate_groups(path, column, *values)), []
+    hadoop = jvm.org.apache.parquet.hadoop
+    packed = {"INT32": "<i", "INT64": "<q", "FLOAT": "<f", "DOUBLE": "<d"}
+    reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()))
+    try:
+        for k, block in enumerate(reader.getFooter().getBlocks()):
+            chunk = next(c for c in block.getColumns() if c.getPath().toDotString() == column)
+            bloom = reader.getBloomFilterDataReader(block).readBloomFilter(chunk) if k in kept else None
+            if bloom is not None:
+                form = packed.get(str(chunk.getPrimitiveType().getPrimitiveTypeName()))
+                plain = [struct.pack(form, v) if form else v.encode() if isinstance(v, str) else v for v in values]
+                if not any(bloom.findHash(struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(b)))[0]) for b in plain):
+                    continue
+            if k in kept:
+                out.append(k)
+    finally:
+        reader.close()
+    return out
+
+
+def bloom_stripes(spark: SparkSession, path: str, column: str, *values: int | float | str) -> list[int]:
+    """Stripes of an ORC file of which a row group's Bloom filter allows one of the values; all, if the column has none."""
+    jvm, orc, gateway = spark._jvm, spark._jvm.org.apache.orc, spark.sparkContext._gateway
+    reader = orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(path), orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    rows, out = reader.rows(), []
+    try:
+        kind = reader.getSchema().findSubtype(column)
+        k, many = kind.getId(), reader.getSchema().getMaximumId() + 1
+        flags = gateway.new_array(gateway.jvm.boolean, many)
+        for i in range(many):
+            flags[i] = i in (0, k)
+        for stripe in range(reader.getStripes().size()):
+            index = rows.readRowIndex(stripe, flags, flags)
+            filters = index.getBloomFilterIndex()[k]
+            if filters is None:
+                out.append(stripe)
+                continue
+            for g in range(filters.getBloomFilterCount()):
+                bloom = orc.util.BloomFilterIO.deserialize(index.getBloomFilterKinds()[k], orc.OrcProto.ColumnEncoding.getDefaultInstance(), reader.getWriterVersion(), kind.getCategory(), filters.getBloomFilter(g))
+                test = bloom.testString if isinstance(values[0], str) else bloom.testDouble if isinstance(values[0], float) else bloom.testLong
+                if any(test(v) for v in values):
+                    out.append(stripe)
+                    break
+    finally:
+        rows.close()
+        reader.close()
+    return out
+
+
 @dataclass(frozen=True)
 class WriteOptions:
     """compression and level; row group or stripe size; encodings: version 2 pages take delta and byte-stream-split; dictionary per column;
