@@ -149,15 +149,14 @@ def prune_file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_lineitem(spark, sf_dir).read(["l_orderkey", "l_linenumber", "l_quantity"], RANGE)
 
 
-@query("SELECT sum(CASE WHEN d = 'always false' THEN n ELSE 0 END)::BIGINT AS rows_skipped_and_matching, count(*) AS decisions FROM (SELECT 'always false' AS d, 0 AS n UNION ALL SELECT 'unknown', 1)")
+@query("SELECT count(*) FILTER (l_orderkey < 1000) AS matching, count(*) FILTER (l_orderkey < 1000) AS in_files_kept, max(l_orderkey) > 1100 AS skips FROM lineitem")
 def prune_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many matching rows lie in files that pruning skips (none), and the kinds of decision met."""
+    """Matching rows in all, and in the files that aren't skipped; whether files are."""
     t = log_lineitem(spark, sf_dir)
-    said = t.decisions(col("l_orderkey").lt(1000) & col("l_quantity").ge(1))
-    skipped = [r["path"] for r in said.filter("decision = 'always false'").select("path").collect()]
-    rows = t._live(t.current, [a for a in t.current.files.values() if a["path"] in skipped])
-    kinds = said.select(F.when(F.col("decision") == "always false", "skip").otherwise("keep").alias("k")).distinct().agg(F.count("*").alias("decisions"))
-    return rows.filter("l_orderkey < 1000").agg(F.count("*").alias("rows_skipped_and_matching")).crossJoin(kinds)
+    said = {r["path"]: r["decision"] for r in t.decisions(col("l_orderkey").lt(1000) & col("l_quantity").ge(1)).collect()}
+    kept = [a for a in t.current.files.values() if said[a["path"]] != "always false"]
+    counts = t._live(t.current, kept).filter("l_orderkey < 1000").agg(F.count("*").alias("in_files_kept"))
+    return table(spark, sf_dir, "lineitem").filter("l_orderkey < 1000").agg(F.count("*").alias("matching")).crossJoin(counts).withColumn("skips", F.lit(len(kept) < len(said)))
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')")
@@ -293,12 +292,14 @@ def column_mapping_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read(["n_nationkey", "label"], col("n_regionkey").eq(2))
 
 
-@query("SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS _row_id, 1::BIGINT AS _row_commit_version FROM region UNION ALL SELECT 5 + row_number() OVER (ORDER BY n_nationkey) - 1, 2 FROM nation")
+@query("SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS _row_id, 1::BIGINT AS _row_commit_version, true AS kept FROM region UNION ALL SELECT 5 + row_number() OVER (ORDER BY n_nationkey) - 1, 2, true FROM nation")
 def row_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = LogTable.create(spark, scratch(spark, "log"), T.StructType([T.StructField("k", T.IntegerType())]))
-    t.write(table(spark, sf_dir, "region").selectExpr("r_regionkey as k").repartition(2))
+    t.write(table(spark, sf_dir, "region").selectExpr("r_regionkey + 100 as k").repartition(2))
+    before = {r["k"]: r["_row_id"] for r in t.read_with_row_ids().collect()}  # five rows
     t.write(table(spark, sf_dir, "nation").selectExpr("n_nationkey as k").repartition(2))
-    return t.read_with_row_ids().select("_row_id", "_row_commit_version")
+    old = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
+    return t.read_with_row_ids().select("_row_id", "_row_commit_version", F.coalesce(F.try_element_at(old, F.col("k")) == F.col("_row_id"), F.lit(True)).alias("kept"))
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -355,10 +356,7 @@ def position_and_equality_deletes(spark: SparkSession, sf_dir: str) -> DataFrame
     df = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     t = fresh_snapshots(spark, df.schema)
     t.append(df.repartition(3))
-    from tarnlake.operators.rows import PATH, ROW, read_files
-
-    rows = read_files(t.store, spark, [f.path for f in t.files("data")], t._stored(t.metadata.schema()), True, partitioned=False)
-    t.append_position_deletes(rows.filter("f1 % 50 = 7").select(F.col(PATH).alias("path"), F.col(ROW).alias("row")))
+    t.delete_where(call("modulo", col("p_partkey"), 50).eq(7))
     t.append_equality_deletes(df.agg(F.min("p_brand").alias("p_brand")).withColumn("p_size", F.lit(10)))
     t.append(df.filter("p_size = 10"))  # younger than the deletes
     return t.read()
