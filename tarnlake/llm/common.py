@@ -27,11 +27,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tarnlake/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and a lost executor costs no recomputation."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it back: lineage is cut and a lost executor costs no recomputation. The path is for drop_path(), once nothing reads it any more."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """stored(), for tables that the result reads."""
+    return stored(df, name)[0]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

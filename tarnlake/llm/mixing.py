@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import materialize
+from tarnlake.llm.common import drop_path, materialize, stored
 
 #: Bits of the hash that one histogram level resolves, and how many levels there are.
 LEVEL_BITS, LEVELS = 10, 5
@@ -113,8 +113,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int =
 def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, seed: int = 42) -> DataFrame:
     """The mix itself: the rows of docs, all columns, each as often as mix() takes it. Rows without words, which
     weigh nothing, stay as they are."""
-    base = materialize(docs.select("source", word_count(F.col("text")).alias("size"), _hash(seed).alias("h")), "mixing")
+    base, base_at = stored(docs.select("source", word_count(F.col("text")).alias("size"), _hash(seed).alias("h")), "mixing")
     plan = _plan(base, weights, max_repeats).select("key", "cut", "left", "whole")
+    drop_path(docs.sparkSession, base_at)
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.struct("source").alias("key"), _hash(seed).alias("h"), word_count(F.col("text")).alias("size"))
     told, at_cut = _split(packed.join(plan, "key"))
     at_cut = materialize(at_cut.withColumn("part", F.spark_partition_id()), "mixing-cut")

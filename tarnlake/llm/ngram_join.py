@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import materialize, slices
+from tarnlake.llm.common import drop_path, materialize, slices, stored
 from tarnlake.llm.graph import components
 from tarnlake.llm.substring import rollers
 
@@ -97,17 +97,20 @@ def min_hashes(s: np.ndarray, n: int) -> np.ndarray:
     return out.astype(np.uint64)
 
 
-def signature(m: np.ndarray, root: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per tree the first `root` min-hashes as one hash, and the others cut to equal shares of 63 bits, in order."""
+def signature(m: np.ndarray, root: int, need: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Per tree the first `root` min-hashes as one hash, and the others cut to equal shares of 63 bits, in order; 0 if a prefix of
+    the root's length is all that is needed, as no others are compared then."""
     m = mixed(m.reshape(TREES, DEPTH) + np.uint64(1))
     heads = mixed((mixed(m[:, :root]) * multipliers(root)).sum(axis=1, dtype=np.uint64) + np.arange(TREES, dtype=np.uint64))
     tails, bits = np.zeros(TREES, np.uint64), np.uint64(63 // max(1, DEPTH - root))
-    for k in range(root, DEPTH):
+    for k in range(root, DEPTH if need > root else root):
         tails = (tails << bits) | (m[:, k] & ((np.uint64(1) << bits) - np.uint64(1)))
     return heads.view(np.int64), tails.view(np.int64)
 
 
-def feature_batches(size: int, root: int):
+def feature_batches(size: int, threshold: float, root: int):
+    need = depths(threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 3)):
             node, n, heads, tails, sketch = [], [], [], [], []
@@ -120,7 +123,7 @@ def feature_batches(size: int, root: int):
                     continue
                 m = min_hashes(s, TREES * DEPTH)
                 node.append(int(np.bitwise_xor.reduce(mixed(s * np.uint64(5))).view(np.int64)) ^ len(s))
-                for out, x in zip((heads, tails), signature(m, root), strict=True):
+                for out, x in zip((heads, tails), signature(m, root, int(need[min(len(s), len(need) - 1)])), strict=True):
                     out.append(x)
                 sketch.append((mixed(m[:SKETCH]) & np.uint64(255)).astype(np.uint8).tobytes())
             longs = pa.list_(pa.int64())
@@ -310,21 +313,24 @@ def join(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     text = F.col("text").cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("dkey"), F.xxhash64("text").alias("th"), text.alias("text"))
     root = prefix_length(threshold)
-    rows = materialize(base.mapInArrow(feature_batches(size, root), FEATURES), "ngram-features")
+    features, features_at = stored(base.mapInArrow(feature_batches(size, threshold, root), FEATURES), "ngram-features")
     same = [F.first(c).alias(c) for c in ("n", "heads", "tails", "sketch")]
-    classes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("dkey", "th")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("size"), *same)
-    classes = materialize(classes, "ngram-classes")
+    full = features.filter("node is not null").groupBy("node").agg(F.min(F.struct("dkey", "th")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("size"), *same)
+    full, full_at = stored(full, "ngram-classes")
+    rows, classes = materialize(features.select("doc_id", "dkey", "th", "node"), "ngram-rows"), materialize(full.select("node", "first", "least", "size"), "ngram-nodes")
+    drop_path(docs.sparkSession, features_at)
 
-    entries = classes.select(F.explode(F.arrays_zip("heads", "tails")).alias("e"), "node", "n").select("e.heads", "e.tails", "node", "n")
+    entries = full.select(F.explode(F.arrays_zip("heads", "tails")).alias("e"), "node", "n").select("e.heads", "e.tails", "node", "n")
     forest = entries.repartitionByRange("heads", "tails", "node").sortWithinPartitions("heads", "tails", "node")
     walked = materialize(forest.mapInArrow(walk_batches(threshold, root), "kind int, u long, v long").distinct(), "ngram-candidates")
     parted = walked.filter("kind = 2")
     joints = parted.join(parted.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    sketches = classes.select("node", "sketch")
+    sketches = full.select("node", "sketch")
     near = walked.filter("kind = 0").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     near = near.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
     near = near.select("u", "v", "a", "b").mapInArrow(similar_batches(threshold - SLACK), "u long, v long")
     clumps = components(near.union(walked.filter("kind = 1").select("u", "v")).union(joints))
+    drop_path(docs.sparkSession, full_at)
 
     found = clumps.select("node", F.col("root").alias("clump")).join(classes.select("node", "first", "size"), "node")
     # a large clump is dealt over tiles by hash, so that no task takes it whole

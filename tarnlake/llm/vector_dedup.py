@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import materialize
+from tarnlake.llm.common import drop_path, materialize, stored
 from tarnlake.llm.graph import components
 from tarnlake.llm.vectors import matrix, row_dots, usable
 
@@ -154,7 +154,7 @@ def dedup(vectors: DataFrame, vector: str = "embedding", least: float = 0.93, la
     classes = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("vec").alias("vec"))
     classes = materialize(classes, "vector-classes")
     entries = classes.select("node", "size", "label", F.size("vec").alias("dim"), "vec").mapInArrow(strip_batches(least), ENTRY)
-    entries = materialize(entries, "vector-strips")
+    entries, entries_at = stored(entries, "vector-strips")
     place = ["label", "dim", "block"]
     strips = entries.groupBy(*place, "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     before = strips.select(*place, (F.col("cell") + 1).alias("cell"), F.col("tiles").alias("before"))
@@ -172,6 +172,7 @@ def dedup(vectors: DataFrame, vector: str = "embedding", least: float = 0.93, la
     dealt = tiled.select("node", "size", "vec", "tile", *place, F.explode(groups).alias("g")).select(*place, "g.cell", "g.kind", "g.i", "g.j", "g.guest", "node", "size", "tile", "vec")
     dealt = dealt.repartition(*key).sortWithinPartitions(*key)
     links = materialize(dealt.mapInArrow(compare_batches(least), "node long, links long, root long"), "vector-links")
+    drop_path(vectors.sparkSession, entries_at)
     roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     placed = classes.select("node", "least", "size").join(roots, "node", "left").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = placed.groupBy("root").agg(F.min("least").alias("head"))
