@@ -7,12 +7,13 @@ extra field), so the reader, which parses headers first, seeks over whatever its
 from __future__ import annotations
 
 import base64
+import json
 import os
 import posixpath
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -198,11 +199,19 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict, schema) -> None:
         self.path, self.names = options["path"], schema.fieldNames()
         self.group = int(options.get("group_bytes", 64 << 20))
-        self.wanted: dict[str, set] = {}
-        self.present: set[str] = set()
+        given = json.loads(options.get("where", "{}"))
+        self.wanted: dict[str, set] = {k: set(v) for k, v in given.items() if v is not None}
+        self.present: set[str] = {k for k, v in given.items() if v is None}
+        self.once = str(options.get("pushdown", "false")).lower() == "true"
+        if odd := given.keys() - HEADERS.keys():
+            raise ValueError(f"no WARC headers: {sorted(odd)}")
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality and membership tests on what stands in the WARC header are decided before a payload is touched."""
+        """Equality and membership tests on what stands in the WARC header are decided before a payload is touched, if the frame serves one query only:
+        Spark keeps what a Python source took over for later queries over the same frame."""
+        if not self.once:
+            yield from filters
+            return
         for f in filters:
             name = f.attribute[0] if isinstance(f, EqualTo | In | IsNotNull) and len(f.attribute) == 1 else ""
             if name in HEADERS and isinstance(f, EqualTo | In):
@@ -243,15 +252,16 @@ class WarcReader(DataSourceReader):
             got = {k: warc.get(h.lower()) for k, h in HEADERS.items()}
             got["payload_digest"] = hex_digest(got["payload_digest"])
             if all(got[k] in v for k, v in self.wanted.items()) and all(got[k] is not None for k in self.present):
-                body, split, http = cut + 4, None, {}
+                body, head, http = cut + 4, False, {}
                 if warc.get("content-type", "").startswith("application/http"):
                     split = u.upto(b"\r\n\r\n", body)
-                    http = parse(u.data[body:split]) if 0 <= split < body + size else {}
-                start = split + 4 if http else body
+                    head = 0 <= split < body + size  # a status line needn't be followed by fields
+                    http = parse(u.data[body:split]) if head else {}
+                start = split + 4 if head else body
                 length = body + size - start
                 if got["record_type"] == "revisit" and http.get("content-length", "").isdigit():
                     length = int(http["content-length"])
-                out = {"file": name, **got, "payload_bytes": length, "http_headers": u.data[body:split].decode("utf-8", "replace") if http else None}
+                out = {"file": name, **got, "payload_bytes": length, "http_headers": u.data[body:split].decode("utf-8", "replace") if head else None}
                 if with_payload:
                     u.fill(body + size)
                     out["payload"] = u.data[start : body + size]
@@ -279,7 +289,8 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """format("warc"). Options: path; payload ("true" adds the payload column); group_bytes; max_file_bytes."""
+    """format("warc"). Options: path; payload ("true" adds the payload column); where (JSON: header columns and the values that they must have, null for any);
+    pushdown ("true": filters of the one query that the frame serves are taken over); group_bytes; max_file_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -324,9 +335,13 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 1000) -> None:
     records(pages, least_bytes).write.format("warc").mode("append").save(path)
 
 
-def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, payload: bool = False, where: Mapping[str, Sequence[str] | None] | None = None, pushdown: bool = False) -> DataFrame:
+    """Records of the archives below path. where: header columns (record_type, target_uri, ...) and the values that they must have, None for any; it is
+    decided on the header, and what fails isn't decoded further. pushdown: the same for equalities and memberships in the filters of a query, for a
+    frame that is used in one query only."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    source = spark.read.format("warc").option("payload", str(payload).lower()).option("pushdown", str(pushdown).lower())
+    return source.option("where", json.dumps({k: None if v is None else list(v) for k, v in (where or {}).items()})).load(path)
 
 
 def page_id(urn: str):

@@ -2,6 +2,9 @@ import gzip
 import hashlib
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from tarnlake.llm import warc
 
 SCHEMA = "page_id long, url string, html string, payload int"
@@ -36,13 +39,40 @@ def test_pushdown_and_foreign_members(spark, tmp_path):
         f.writelines(gzip.compress(b) for b in blocks)  # no noted lengths
     with open(f"{tmp_path}/w/b.warc", "wb") as f:
         f.writelines(blocks)
-    found = warc.read_archive(spark, str(tmp_path / "w"), payload=True)
+    found = warc.read_archive(spark, str(tmp_path / "w"), payload=True, pushdown=True)
     some = found.filter("record_type = 'response' and target_uri in ('u3', 'u4', 'u5')")
     assert sorted((r.target_uri, r.payload_bytes, len(r.payload)) for r in some.collect()) == [("u3", 300_000, 300_000)] * 2 + [("u5", 500_000, 500_000)] * 2
+    same = warc.read_archive(spark, str(tmp_path / "w"), payload=True, where={"record_type": ["response"], "target_uri": ["u3", "u4", "u5"], "payload_digest": None})
+    assert sorted((r.target_uri, len(r.payload)) for r in same.collect()) == [("u3", 300_000)] * 2 + [("u5", 500_000)] * 2
+    # without either, a frame gives the same to each query
+    plain = warc.read_archive(spark, str(tmp_path / "w"))
+    assert [plain.count(), plain.filter("record_type = 'response'").count(), plain.count(), plain.filter("record_type = 'metadata'").count()] == [12, 6, 12, 6]
     assert "Filter (" not in some._jdf.queryExecution().executedPlan().toString()
     assert warc.read_archive(spark, str(tmp_path / "w")).filter("payload_bytes > 300000").count() == 4
 
 
+def test_heads_without_fields(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/w")
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody\r\n\r\nmore"
+    with open(f"{tmp_path}/w/a.warc", "wb") as f:
+        f.write(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n")
+    (r,) = warc.read_archive(spark, str(tmp_path / "w"), payload=True).collect()
+    assert bytes(r.payload) == b"body\r\n\r\nmore" and r.payload_bytes == len(r.payload) and r.http_headers.startswith("HTTP/1.1 200 OK")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_payloads_hash_to_their_digests(spark, tmp_path):
+    """All pages and a very long one, written, read back with payloads, and hashed again."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    more = spark.createDataFrame([(10**9, "long", "<p>é" * 3_000_000)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.archive(pages.select("page_id", "url", "html").union(more), path)
+    found = warc.read_archive(spark, path, payload=True).withColumns({"sha": F.sha1("payload"), "own": F.octet_length("payload")})
+    assert found.filter("record_type = 'response' and (sha <> payload_digest or own <> payload_bytes)").count() == 0
+    assert found.filter("record_type = 'revisit' and own > 0").count() == 0
+    assert found.count() == pages.count() + 1 and found.agg(F.max("payload_bytes")).first()[0] == 15_000_000
+
+
 def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     warc.archive(spark.createDataFrame([], SCHEMA), path)
