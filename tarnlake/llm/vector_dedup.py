@@ -70,11 +70,13 @@ def linked_pairs(v: np.ndarray, w: np.ndarray, block: int, least: float) -> Iter
     parts = blocks(v.shape[1], least)
     where, budget = parts[block]
     xb, yb = x[:, where], y[:, where]
-    nv, nw, sy = np.sqrt(row_dots(v, v)), np.sqrt(row_dots(w, w)), row_dots(yb, yb)
+    nv, nw = np.sqrt(row_dots(v, v)), np.sqrt(row_dots(w, w))
+    # half the squared distance as one product, in single precision with room for its rounding; what passes is compared exactly
+    ones = lambda z: np.ones((len(z), 1))
+    half = lambda z: -row_dots(z, z)[:, None] / 2
+    left, right = (np.concatenate(c, axis=1).astype(np.float32) for c in ((xb, half(xb), ones(xb)), (yb, ones(yb), half(yb))))
     for at in range(0, len(x), 256):
-        some = xb[at : at + 256]
-        near = row_dots(some, some)[:, None] + sy[None, :] - 2 * (some @ yb.T) <= budget + 1e-9
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(left[at : at + 256] @ right.T >= np.float32(-budget / 2 - 1e-5))
         for lo in range(0, len(i), 20_000):
             a, b = i[lo : lo + 20_000] + at, j[lo : lo + 20_000]
             ok = row_dots(v[a], w[b]) / (nv[a] * nw[b]) >= least
