@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.functions.registry import DEFAULT, Registry
-from tarnlake.operators.rows import BATCH, PATH, ROW, read_files, without
+from tarnlake.operators.rows import BATCH, PATH, ROW, Batches, changed_by, flagged, read_files, without
 from tarnlake.operators.storage import Store, now_ms
 from tarnlake.plans import compile as comp
 from tarnlake.plans.expr import All, Any_, Compare, Const, Expr, In, Lit, Ref
@@ -172,9 +173,15 @@ class FragmentTable:
         already = self._deleted(m.fragments)
         return self._delete(asked if already is None else asked.join(already, ["path", "row"], "left_anti"))
 
-    def delete(self, filter_: Expr | Column) -> int:
-        """Delete matching rows; none, and the version stays."""
-        found = comp.apply(self._rows(self.plan(filter_) if isinstance(filter_, Expr) else self.manifest.fragments, True), filter_, None, self.registry)
+    def _matches(self, filter_: Expr | Column | Batches) -> DataFrame:
+        rows = self._rows(self.plan(filter_) if isinstance(filter_, Expr) else self.manifest.fragments, True)
+        if not isinstance(filter_, Expr | Column):
+            return flagged(rows, filter_, "__hit").filter("__hit").drop("__hit")
+        return comp.apply(rows, filter_, None, self.registry)
+
+    def delete(self, filter_: Expr | Column | Batches) -> int:
+        """Delete rows that match a predicate, or a function from a record batch to a boolean array; none, and the version stays."""
+        found = self._matches(filter_)
         return self._delete(found.select(F.col(PATH).alias("path"), F.col(ROW).alias("row")))
 
     def _delete(self, rows: DataFrame) -> int:
@@ -184,14 +191,19 @@ class FragmentTable:
             self._commit(m, new, "delete")
         return n
 
-    def update(self, filter_: Expr | Column, assignments: Mapping[str, Expr | Column]) -> tuple[int, int]:
-        """Tombstone matching rows and write them, changed, as new fragments. Expressions see the old row."""
+    def update(self, filter_: Expr | Column | Batches, assignments: Mapping[str, Expr | Column] | Callable[[pa.RecordBatch], pa.RecordBatch]) -> tuple[int, int]:
+        """Tombstone matching rows and write them, changed, as new fragments. Expressions, or a function over record batches, see the old row."""
         m = self.manifest
-        if unknown := set(assignments) - set(self.schema.fieldNames()):
+        if isinstance(assignments, Mapping) and (unknown := set(assignments) - set(self.schema.fieldNames())):
             raise KeyError(", ".join(sorted(unknown)))
-        found = comp.apply(self._rows(self.plan(filter_) if isinstance(filter_, Expr) else m.fragments, True), filter_, None, self.registry)
+        found = self._matches(filter_)
+        if not isinstance(assignments, Mapping):
+            return self._replace(m, found, changed_by(found, assignments, self.schema))
         new = {c: comp.expression(e, self.schema, self.registry) if isinstance(e, Expr) else e for c, e in assignments.items()}
         changed = found.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col(f"`{f.name}`")).alias(f.name) for f in self.schema.fields])
+        return self._replace(m, found, changed)
+
+    def _replace(self, m: Manifest, found: DataFrame, changed: DataFrame) -> tuple[int, int]:
         marked, n = self._tombstone(m, found.select(F.col(PATH).alias("path"), F.col(ROW).alias("row")))
         if not n:
             return 0, m.version

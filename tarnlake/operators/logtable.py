@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tarnlake.functions.registry import DEFAULT, Registry
 from tarnlake.operators import stats as st
-from tarnlake.operators.rows import BATCH, PATH, ROW, numbered, read_files, read_placed, without
+from tarnlake.operators.rows import BATCH, PATH, ROW, Batches, changed_by, flagged, numbered, read_files, read_placed, without
 from tarnlake.operators.storage import ConflictError, Entry, Store, now_ms
 from tarnlake.plans import compile as comp
 from tarnlake.plans.expr import Expr
@@ -30,6 +30,7 @@ from tarnlake.sources import roaring
 from tarnlake.sources.avro import open_fs
 
 LOG = "_delta_log"
+HIT = "__hit"
 READER, WRITER = 3, 7
 FEATURES = frozenset({"deletionVectors", "columnMapping", "typeWidening", "timestampNtz", "v2Checkpoint", "changeDataFeed", "identityColumns", "rowTracking", "inCommitTimestamp", "domainMetadata", "appendOnly", "invariants", "icebergCompatV1", "icebergCompatV2", "vacuumProtocolCheck"})
 ID, PHYSICAL = "delta.columnMapping.id", "delta.columnMapping.physicalName"
@@ -608,8 +609,10 @@ class LogTable:
                     raise
         raise ConflictError("append")
 
-    def _matches(self, s: Snapshot, filter_: Expr | Column) -> tuple[list[Mapping], DataFrame]:
+    def _matches(self, s: Snapshot, filter_: Expr | Column | Batches) -> tuple[list[Mapping], DataFrame]:
         candidates = self.plan(filter_, s) if isinstance(filter_, Expr) else list(s.files.values())
+        if not isinstance(filter_, Expr | Column):
+            return candidates, flagged(self._live(s, candidates, True), filter_, HIT).filter(HIT).drop(HIT)
         return candidates, comp.apply(self._live(s, candidates, True), filter_, None, self.registry)
 
     def _cdc(self, s: Snapshot, df: DataFrame) -> list[dict]:
@@ -619,8 +622,8 @@ class LogTable:
         df.write.parquet(self.store.uri(folder))
         return [{"cdc": {"path": folder, "partitionValues": {}, "size": sum(e.size for e in self.store.walk(folder)), "dataChange": False}}]
 
-    def delete(self, filter_: Expr | Column) -> tuple[int, int]:
-        """Mark matching rows deleted; rows where the predicate is null stay. Returns rows and version; without matches nothing is committed.
+    def delete(self, filter_: Expr | Column | Batches) -> tuple[int, int]:
+        """filter_: a predicate, or a function from a record batch to a boolean array. Mark matching rows deleted; rows where the predicate is null stay. Returns rows and version; without matches nothing is committed.
         Where a compatibility mode excludes deletion vectors the files are written anew without the rows."""
         s = self.current
         if s.config.get("delta.appendOnly") == "true":
@@ -662,14 +665,18 @@ class LogTable:
         if not touched:
             return 0, s.version
         adds = [a for a in candidates if a["path"] in touched]
-        hit = F.coalesce(comp.predicate(filter_, s.schema, self.registry) if isinstance(filter_, Expr) else filter_, F.lit(False))
-        written = self._write_files(s, self._live(s, adds).filter(~hit))
+        written = self._write_files(s, self._flag(s, self._live(s, adds), filter_).filter(~F.col(HIT)).drop(HIT))
         cdc = self._cdc(s, matched.drop(PATH, ROW).withColumn("_change_type", F.lit("delete")))
         actions = [*(self._remove(a) for a in adds), *({"add": a} for a in written), *cdc, *self._tracking(s)]
         return sum(touched.values()), self._commit(s, "DELETE", actions)
 
-    def update(self, filter_: Expr | Column, assignments: Mapping[str, Expr | Column]) -> tuple[int, int]:
-        """Rewrite the files with matching rows; assigned expressions see the old row."""
+    def _flag(self, s: Snapshot, rows: DataFrame, filter_: Expr | Column | Batches) -> DataFrame:
+        if not isinstance(filter_, Expr | Column):
+            return flagged(rows, filter_, HIT)
+        return rows.withColumn(HIT, F.coalesce(comp.predicate(filter_, s.schema, self.registry) if isinstance(filter_, Expr) else filter_, F.lit(False)))
+
+    def update(self, filter_: Expr | Column | Batches, assignments: Mapping[str, Expr | Column] | Callable[[pa.RecordBatch], pa.RecordBatch]) -> tuple[int, int]:
+        """Rewrite the files with matching rows; assigned expressions, or a function over record batches of matching rows, see the old row."""
         s = self.current
         if s.config.get("delta.appendOnly") == "true":
             raise ProtocolError("the table is append-only")
@@ -679,12 +686,16 @@ class LogTable:
             return 0, s.version
         adds = [a for a in candidates if a["path"] in touched]
         rows, kinds = self._live(s, adds), {f.name: f.dataType for f in s.schema.fields}
-        hit = F.coalesce(comp.predicate(filter_, s.schema, self.registry) if isinstance(filter_, Expr) else filter_, F.lit(False))
-        new = {c: (comp.expression(e, s.schema, self.registry) if isinstance(e, Expr) else e).cast(kinds[c]) for c, e in assignments.items()}
-        changed = rows.select(*[F.when(hit, new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in rows.columns])
+        told = self._flag(s, rows, filter_)
+        pre = told.filter(HIT).drop(HIT)
+        if isinstance(assignments, Mapping):
+            new = {c: (comp.expression(e, s.schema, self.registry) if isinstance(e, Expr) else e).cast(kinds[c]) for c, e in assignments.items()}
+            changed = told.select(*[F.when(F.col(HIT), new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in rows.columns])
+            post = pre.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in rows.columns])
+        else:
+            post = changed_by(pre, assignments, s.schema)
+            changed = told.filter(~F.col(HIT)).drop(HIT).unionByName(post)
         written = self._write_files(s, changed)
-        pre = rows.filter(hit)
-        post = pre.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in rows.columns])
         cdc = self._cdc(s, pre.withColumn("_change_type", F.lit("update_preimage")).unionByName(post.withColumn("_change_type", F.lit("update_postimage"))))
         actions = [*(self._remove(a) for a in adds), *({"add": a} for a in written), *cdc, *self._tracking(s)]
         return sum(touched.values()), self._commit(s, "UPDATE", actions)

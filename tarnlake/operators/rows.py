@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import urlparse
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,3 +70,33 @@ def numbered(store: Store, df: DataFrame, name: str) -> DataFrame:
         total += r["n"]
     starts = spark.createDataFrame(offsets, f"{PATH} string, first long")
     return staged.join(starts, PATH).withColumn(name, F.col("first") + F.col(ROW)).drop(PATH, ROW, "first")
+
+
+Batches = Callable[[pa.RecordBatch], pa.Array]
+
+
+def flagged(df: DataFrame, test: Batches, name: str) -> DataFrame:
+    """df with a boolean column: what a function over record batches says of each row; null counts as false. It sees the columns of df but for addresses."""
+    shown = [c for c in df.columns if c not in (PATH, ROW)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = test(b.select(shown))
+            said = said.combine_chunks() if isinstance(said, pa.ChunkedArray) else said
+            yield pa.RecordBatch.from_arrays([*b.columns, pc.fill_null(said.cast(pa.bool_()), False)], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
+
+
+def changed_by(df: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """Rows as a function over record batches changes them; columns that it leaves out stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = change(b)
+            if new.num_rows != b.num_rows:
+                raise ValueError(f"{b.num_rows} rows became {new.num_rows}")
+            have = dict(zip(new.schema.names, new.columns, strict=True))
+            yield pa.RecordBatch.from_arrays([have.get(f.name, b.column(f.name)).cast(b.schema.field(f.name).type) for f in schema.fields], names=schema.fieldNames())
+
+    return df.select(*[F.col(f"`{c}`") for c in schema.fieldNames()]).mapInArrow(run, schema)

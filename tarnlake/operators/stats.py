@@ -40,12 +40,13 @@ def aggregates(schema: T.StructType) -> list[Column]:
 
 
 def accessor(stats_schema: T.StructType, prefix: str = ""):
-    """Column statistics out of a frame made by aggregates()."""
+    """Column statistics out of a frame made by aggregates(); prefix: what their names begin with."""
 
     def find(name: str) -> ColumnStats | None:
+        name = prefix + name
         if name not in stats_schema.fieldNames() or not isinstance(stats_schema[name].dataType, T.StructType):
             return None
-        own, at = stats_schema[name].dataType.fieldNames(), F.col(f"{prefix}`{name}`")
+        own, at = stats_schema[name].dataType.fieldNames(), F.col(f"`{name}`")
         if "max" not in own:
             return ColumnStats(nulls=at["nulls"], nans=at["nans"])
         high = at["max"]

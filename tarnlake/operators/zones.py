@@ -19,6 +19,15 @@ from tarnlake.plans.prune import can_match
 ZONE, POSITION = "_zone", "_position"
 
 
+def plain_bytes(f: T.StructField) -> Column:
+    """Bytes that the values of a column take unpacked: strings and binaries by their length, others by their type."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, T.StringType | T.BinaryType):
+        return F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).cast("long")
+    width = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4, "date": 4, "long": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8, "decimal": 16}.get(f.dataType.typeName())
+    return F.count(c) * width if width else F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(c)))), F.lit(0)).cast("long")
+
+
 class ZonedDataset:
     """data/ holds the rows in folders of many zones each, with their position; stats/ holds a row per zone."""
 
@@ -44,7 +53,7 @@ class ZonedDataset:
         rows.repartitionByRange(POSITION).sortWithinPartitions(POSITION).write.parquet(ds.store.uri("data"))
         ds.store.delete("_stage")
         ds.info = {"schema": df.schema.json(), "zone_rows": zone_rows, "rows": total}
-        ds._rows().groupBy(ZONE).agg(*st.aggregates(df.schema), *[F.try_sum(f"`{f.name}`").alias(f"_sum_{f.name}") for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]).coalesce(1).write.parquet(ds.store.uri("stats"))
+        ds._rows().groupBy(ZONE).agg(*st.aggregates(df.schema), *[F.try_sum(f"`{f.name}`").alias(f"_sum_{f.name}") for f in df.schema.fields if isinstance(f.dataType, T.NumericType)], *[plain_bytes(f).alias(f"_bytes_{f.name}") for f in df.schema.fields]).coalesce(1).write.parquet(ds.store.uri("stats"))
         ds.store.write("_zones.json", json.dumps(ds.info))
         return ds
 
@@ -59,10 +68,10 @@ class ZonedDataset:
         return self.spark.read.parquet(self.store.uri("stats"))
 
     def column_stats(self, column: str) -> DataFrame:
-        """Per zone: rows, min, max, nulls, nans, exact, sum, and whether the column is constant, sorted, strictly sorted."""
+        """Per zone: rows, min, max, nulls, nans, exact, sum, bytes (of the values, unpacked), and whether the column is constant, sorted, strictly sorted."""
         s = self.stats()
         total = [F.col(f"_sum_{column}").alias("sum")] if f"_sum_{column}" in s.columns else []
-        return s.select(ZONE, "rows", f"{column}.*", *total).join(st.order_flags(self._rows(), ZONE, POSITION, column), ZONE)
+        return s.select(ZONE, "rows", f"{column}.*", *total, F.col(f"_bytes_{column}").alias("bytes")).join(st.order_flags(self._rows(), ZONE, POSITION, column), ZONE)
 
     def zones(self, filter_: Expr) -> list[int]:
         """The zones that can hold matching rows."""

@@ -9,6 +9,8 @@ from __future__ import annotations
 import time
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,6 +227,29 @@ def compat_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read().withColumn("vectors", F.lit(sum(bool(a.get("deletionVector")) for a in t.current.files.values())))
 
 
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN -c_acctbal ELSE c_acctbal END AS c_acctbal, c_name, kind FROM customer, (SELECT 'log' AS kind UNION ALL SELECT 'fragments') WHERE c_custkey % 3 <> 0")
+def batch_delegates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes and updates by functions over record batches."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name")
+
+    def third(b: pa.RecordBatch) -> pa.Array:
+        return pa.array(b.column("c_custkey").to_numpy() % 3 == 0)
+
+    def rich(b: pa.RecordBatch) -> pa.Array:
+        return pc.greater(b.column("c_acctbal"), 5000)
+
+    def negated(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pc.negate(b.column("c_acctbal"))], names=["c_acctbal"])
+
+    out = None
+    for kind, t in (("log", fresh_log(spark, df)), ("fragments", FragmentTable.create(spark, scratch(spark, "fragments"), df, 2))):
+        t.delete(third)
+        t.update(rich, negated)
+        part = t.read().withColumn("kind", F.lit(kind))
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query("SELECT n_nationkey, true AS conflict FROM nation UNION ALL SELECT r_regionkey + 100, true FROM region")
 def optimistic_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two writers: an append moves behind the other's commit, an overwrite from a stale state is refused."""
@@ -372,6 +397,12 @@ def zone_order_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("_zone").alias("zone"), "constant", "sorted", "strict", F.col("sum").alias("total"))
 
 
+@query("SELECT z AS zone, sum(octet_length(encode(event_type)))::BIGINT AS type_bytes, 8 * count(event_id) AS id_bytes FROM (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 1000 AS z FROM events) GROUP BY z")
+def zone_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = zoned_events(spark, sf_dir)
+    return z.column_stats("event_type").select(F.col("_zone").alias("zone"), F.col("bytes").alias("type_bytes")).join(z.column_stats("event_id").select(F.col("_zone").alias("zone"), F.col("bytes").alias("id_bytes")), "zone")
+
+
 @query("SELECT z AS zone, bool_and(u >= coalesce(p, u)) AS sorted, bool_and(p IS NULL OR u > p) AS strict FROM (SELECT user_id AS u, z, lag(user_id) OVER (PARTITION BY z ORDER BY event_id) AS p FROM (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 1000 AS z FROM events)) GROUP BY z")
 def zone_unsorted_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zoned_events(spark, sf_dir).column_stats("user_id").select(F.col("_zone").alias("zone"), "sorted", "strict")

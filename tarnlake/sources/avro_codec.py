@@ -292,9 +292,7 @@ def resolver(writer: Schema, reader: Schema) -> Callable[[Any], Any]:
         wide_w, wide_r = (writer if w == "union" else [writer]), (reader if r == "union" else [reader])
         some_w, some_r = ([x for x in b if kind_of(x) != "null"] for b in (wide_w, wide_r))
         if len(some_w) > 1 or len(some_r) > 1:
-            if canonical(writer) == canonical(reader):
-                return lambda v: v
-            raise AvroError("general unions resolve to themselves only")
+            return _union_resolver(wide_w, wide_r, len(some_w) > 1, len(some_r) > 1)
         inner = resolver(some_w[0], some_r[0]) if some_w and some_r else lambda v: v
         nullable = any(kind_of(x) == "null" for x in wide_r)
 
@@ -340,6 +338,35 @@ def resolver(writer: Schema, reader: Schema) -> Callable[[Any], Any]:
     return {"long": int, "float": float, "double": float, "bytes": lambda v: v.encode(), "string": lambda v: v.decode()}[r]
 
 
+def _union_resolver(writers: list[Schema], readers: list[Schema], tagged_in: bool, tagged_out: bool) -> Callable[[Any], Any]:
+    """Branch by branch: each of the writer's goes to the reader's first of its own kind (and name), or else to the first that it resolves to. A branch that
+    fits none fails when a value has it. Values of unions of several kinds carry a tag."""
+
+    def place(w: Schema) -> tuple[int, Callable[[Any], Any]] | None:
+        named = lambda s: s.get("name") if isinstance(s, dict) else None
+        same = [j for j, r in enumerate(readers) if kind_of(r) == kind_of(w)]
+        for j in [*(j for j in same if named(readers[j]) == named(w)), *same, *range(len(readers))]:
+            try:
+                return j, resolver(w, readers[j])
+            except AvroError:
+                continue
+        return None
+
+    places = [place(w) for w in writers]
+    null = next((i for i, w in enumerate(writers) if kind_of(w) == "null"), None)
+
+    def resolve(v: Any) -> Any:
+        i = v["tag"] if tagged_in else null if v is None else next(i for i in range(len(writers)) if i != null)
+        if i is None or places[i] is None:
+            raise AvroError("a branch that the reader doesn't have")
+        j, fix = places[i]
+        value = v[f"b{i}"] if tagged_in else v
+        value = None if kind_of(writers[i]) == "null" else fix(value)
+        return {"tag": j, f"b{j}": value} if tagged_out else value
+
+    return resolve
+
+
 def default(s: Schema, v: Any) -> Any:
     k = kind_of(s)
     if k == "union":

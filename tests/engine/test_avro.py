@@ -101,3 +101,21 @@ def test_columns_as_rows(name):
     assert b"".join(packed) == block
     with pytest.raises((codec.AvroError, IndexError)):
         codec.column_decoder(fields, frozenset())(block[:-1], n)
+
+
+def test_general_unions():
+    writer = ["null", "int", "string", {"type": "record", "name": "P", "fields": [{"name": "a", "type": "int"}]}]
+    reader = ["string", "double", {"type": "record", "name": "P", "fields": [{"name": "a", "type": "long"}, {"name": "b", "type": "int", "default": 7}]}, "null"]
+    fix = codec.resolver(codec.parse(writer), codec.parse(reader))
+    assert fix({"tag": 0, "b0": None}) == {"tag": 3, "b3": None}
+    assert fix({"tag": 1, "b1": 5}) == {"tag": 1, "b1": 5.0}
+    assert fix({"tag": 2, "b2": "x"}) == {"tag": 0, "b0": "x"}
+    assert fix({"tag": 3, "b3": {"a": 1}}) == {"tag": 2, "b2": {"a": 1, "b": 7}}
+    # a plain type into a union and out of one; a branch that fits nothing fails with its value only
+    assert codec.resolver("int", codec.parse(["null", "string", "long"]))(3) == {"tag": 2, "b2": 3}
+    narrow = codec.resolver(codec.parse(["int", "string"]), "long")
+    assert narrow({"tag": 0, "b0": 4}) == 4
+    with pytest.raises(codec.AvroError):
+        narrow({"tag": 1, "b1": "x"})
+    same = codec.resolver(codec.parse(writer), codec.parse(writer))
+    assert same({"tag": 2, "b2": "x"}) == {"tag": 2, "b2": "x"}
