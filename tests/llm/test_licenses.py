@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from tarnlake.llm.license_texts import NOTICES, templates
-from tarnlake.llm.licenses import findings, scan
+from tarnlake.llm.licenses import findings, scan, words
 
 
 def names(text):
@@ -72,3 +74,35 @@ def test_frame(spark):
     got = scan(df).collect()
     assert sorted((r.doc_id or 0, r.license, r.exact, r.end - r.start) for r in got) == [(0, "Apache-2.0", True, 47), (1, "MIT", True, 31), (1, "MIT", True, 31)]
     assert scan(df.limit(0)).count() == 0
+
+
+def exact_by_brute_force(text):
+    """Every place of every wording, word by word; longer ones first, none inside another."""
+    own = words(text)
+    taken, out = set(), []
+    for name, wording in sorted(templates(), key=lambda t: -len(words(t[1]))):
+        want = words(wording)
+        for i in range(len(own) - len(want) + 1):
+            if all(w[0] == "<" or w == x for w, x in zip(want, own[i : i + len(want)], strict=True)) and not taken & set(range(i, i + len(want))):
+                taken |= set(range(i, i + len(want)))
+                out.append((i, name))
+    return [name for _, name in sorted(out)]
+
+
+def test_against_brute_force():
+    rng = random.Random(12)
+    prose = ["the river went by the old mill and nobody spoke of it again", "a green house stood at the end of the long road", "she counted seven birds before the rain came down"]
+    plain = [(n, t) for n, t in templates() if "<" not in t and len(words(t)) > 4]
+    found = 0
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            parts += [rng.choice(prose) + "." for _ in range(rng.randint(1, 4))]
+            text = rng.choice(plain)[1]
+            parts.append(wrap(text, rng.choice([6, 9, 14])) if len(words(text)) > 20 and rng.random() < 0.6 else text)
+        parts.append(rng.choice(prose))
+        text = "\n\n".join(parts)
+        want = exact_by_brute_force(text)
+        assert [f[2] for f in findings(text)] == want, text
+        found += len(want)
+    assert found > 150
