@@ -479,7 +479,7 @@ class LogTable:
                         own = rows[lo : lo + 100_000]
                         yield pa.RecordBatch.from_arrays([pa.array([path] * len(own), pa.string()), pa.array(own)], names=["path", "row"])
 
-        return files.repartition(min(len(found), 200)).mapInArrow(unpack, "path string, row long")
+        return files.mapInArrow(unpack, "path string, row long")
 
     def _live(self, s: Snapshot, adds: Sequence[Mapping], addresses: bool = False) -> DataFrame:
         """Live rows of some files under their logical names. Only files that have a deletion vector are joined with it."""
