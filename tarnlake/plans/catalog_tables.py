@@ -427,7 +427,7 @@ def grouped_orders(spark: SparkSession, sf_dir: str) -> str:
 
     def build(path: str) -> None:
         df = table(spark, sf_dir, "orders")
-        files.write_parquet(df.sort("o_orderkey"), path, files.WriteOptions(compression="gzip", level=6, group_bytes=max(4096, 3 * df.count()), files=1, dictionary={"o_orderkey": False}, sort_by=["o_orderkey"], bloom=["o_custkey"]))
+        files.write_parquet(df.sort("o_orderkey"), path, files.WriteOptions(compression="gzip", level=6, group_bytes=max(4096, 3 * df.count()), files=1, dictionary={"o_orderkey": False, "o_custkey": False}, sort_by=["o_orderkey"], bloom=["o_custkey"]))
 
     return built(spark, sf_dir, "grouped-orders", build)
 
