@@ -26,6 +26,8 @@ from tarnlake.streaming.sink import write_stream
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 _built: dict[tuple, str] = {}
+#: Rows to a file of the tables that queries build: larger inputs make more files, not larger ones.
+FILE_ROWS = 1_000_000
 
 
 def query(sql: str | None = None):

@@ -23,7 +23,7 @@ from tarnlake.operators.logtable import LogTable, ProtocolError
 from tarnlake.operators.storage import ConflictError, scratch
 from tarnlake.plans import compile as comp
 from tarnlake.plans.binding import bind
-from tarnlake.plans.catalog import ORDERS, built, fresh_log, fresh_snapshots, query, table, tested, zoned_events
+from tarnlake.plans.catalog import FILE_ROWS, ORDERS, built, fresh_log, fresh_snapshots, query, table, tested, zoned_events
 from tarnlake.plans.expr import FALSE, TRUE, Expr, Lit, all_of, any_of, call, col, columns, lit, negate
 from tarnlake.sources import avro, avro_codec, files
 
@@ -422,39 +422,41 @@ def file_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.files_frame(t.current).select(F.col("g.min").alias("g"), F.col("rows").alias("n"), F.col("r.min").alias("low"), F.col("r.max").alias("high"), F.col("r.nans").alias("nans"), F.col("b.nulls").alias("nulls"))
 
 
-def grouped_orders(spark: SparkSession, sf_dir: str) -> str:
-    """orders in one file of some row groups, whatever the table's size."""
+def grouped_orders(spark: SparkSession, sf_dir: str) -> list[str]:
+    """orders in files of some row groups each, by ranges of their keys; a small table is one file."""
 
     def build(path: str) -> None:
         df = table(spark, sf_dir, "orders")
-        files.write_parquet(df.sort("o_orderkey"), path, files.WriteOptions(compression="gzip", level=6, group_bytes=max(4096, 3 * df.count()), files=1, dictionary={"o_orderkey": False, "o_custkey": False}, sort_by=["o_orderkey"], bloom=["o_custkey"]))
+        n = df.count()
+        many = max(1, -(-n // FILE_ROWS))
+        files.write_parquet(df.repartitionByRange(many, "o_orderkey"), path, files.WriteOptions(compression="gzip", level=6, group_bytes=max(4096, 3 * n // many), dictionary={"o_orderkey": False, "o_custkey": False}, sort_by=["o_orderkey"], bloom=["o_custkey"]))
 
-    return built(spark, sf_dir, "grouped-orders", build)
+    return parquet_files(built(spark, sf_dir, "grouped-orders", build))
 
 
-def one_file(path: str) -> str:
+def parquet_files(path: str) -> list[str]:
     from pathlib import Path
     from urllib.parse import urlparse
 
-    return str(next(Path(urlparse(path).path).glob("*.parquet")))
+    return sorted(map(str, Path(urlparse(path).path).glob("*.parquet")))
 
 
 @query("SELECT count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high, true AS many, 'GZIP' AS codec FROM orders")
 def parquet_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the row groups of a file add up to, by its footer."""
-    meta = files.parquet_metadata(one_file(grouped_orders(spark, sf_dir)))
-    rows = [(g["rows"], g["columns"]["o_orderkey"]["min"], g["columns"]["o_orderkey"]["max"], g["columns"]["o_orderkey"]["codec"]) for g in meta["row_groups"]]
+    """What the row groups of files add up to, by their footers."""
+    groups = [g for p in grouped_orders(spark, sf_dir) for g in files.parquet_metadata(p)["row_groups"]]
+    rows = [(g["rows"], g["columns"]["o_orderkey"]["min"], g["columns"]["o_orderkey"]["max"], g["columns"]["o_orderkey"]["codec"]) for g in groups]
     df = spark.createDataFrame(rows, "n long, low long, high long, codec string")
     return df.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), (F.count("*") > 1).alias("many"), F.min("codec").alias("codec"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders")
 def parquet_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file read group by group: first, last, and all between by their own scans of rows."""
-    path = one_file(grouped_orders(spark, sf_dir))
-    many, out = len(files.parquet_metadata(path)["row_groups"]), None
+    """Files read group by group: the first of each, the last, and all between by their own scans of rows."""
+    paths = grouped_orders(spark, sf_dir)
+    many, out = max(len(files.parquet_metadata(p)["row_groups"]) for p in paths), None
     for k in range(many):
-        part = files.row_group(spark, path, k, ["o_orderkey", "o_custkey"])
+        part = files.row_group(spark, paths, k, ["o_orderkey", "o_custkey"])
         out = part if out is None else out.union(part)
     return out
 
@@ -462,18 +464,22 @@ def parquet_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT true AS bounds_cut, true AS bloom_cuts, true AS sound, count(*) AS n FROM orders WHERE o_custkey = (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY count(*), 1 LIMIT 1)")
 def row_groups_by_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row groups for a value of an unsorted column: its bounds keep nearly all, Bloom filters fewer, or just those that hold it."""
-    path = one_file(grouped_orders(spark, sf_dir))
-    df = spark.read.parquet(path)
+    paths = grouped_orders(spark, sf_dir)
+    df = spark.read.parquet(*paths)
     value = df.groupBy("o_custkey").count().orderBy("count", "o_custkey").first()["o_custkey"]  # the rarest
-    sizes = [g["rows"] for g in files.parquet_metadata(path)["row_groups"]]
-    by_bounds, by_bloom = files.candidate_groups(path, "o_custkey", value), files.bloom_groups(spark, path, "o_custkey", value)
-    first = files.candidate_groups(path, "o_orderkey", df.agg(F.min("o_orderkey")).first()[0])
-    ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
-    group = F.lit(0)
-    for e in ends[:-1]:
-        group = group + (F.col("_metadata.row_index") >= e).cast("int")
-    hits = df.select("o_custkey", group.alias("k")).filter(F.col("o_custkey") == value)
-    return hits.agg(F.lit(first == [0]).alias("bounds_cut"), (F.lit(len(by_bloom) < len(by_bounds)) | (F.count_distinct("k") == len(by_bloom))).alias("bloom_cuts"), F.bool_and(F.col("k").isin(by_bloom)).alias("sound"), F.count("*").alias("n"))
+    least = df.agg(F.min("o_orderkey")).first()[0]
+    by_bounds, first, groups = 0, [], []
+    for p in paths:
+        kept, end = set(files.bloom_groups(spark, p, "o_custkey", value)), 0
+        by_bounds += len(files.candidate_groups(p, "o_custkey", value))
+        first += [(p, k) for k in files.candidate_groups(p, "o_orderkey", least)]
+        for k, g in enumerate(files.parquet_metadata(p)["row_groups"]):
+            groups.append((p.rpartition("/")[2], k, end, end := end + g["rows"], k in kept))
+    by_bloom = sum(g[-1] for g in groups)
+    spans = F.broadcast(spark.createDataFrame(groups, "name string, k int, lo long, hi long, kept boolean"))
+    hits = df.select("o_custkey", F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("row")).filter(F.col("o_custkey") == value)
+    hits = hits.join(spans, "name").filter("row >= lo and row < hi")
+    return hits.agg(F.lit([k for _, k in first] == [0]).alias("bounds_cut"), (F.lit(by_bloom < by_bounds) | (F.count_distinct("name", "k") == by_bloom)).alias("bloom_cuts"), F.bool_and("kept").alias("sound"), F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, p_size, true AS verified FROM part WHERE p_size > 10")

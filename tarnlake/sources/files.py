@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -34,13 +35,21 @@ def scan_orc(spark: SparkSession, *paths: str, columns: Sequence[str] | None = N
     return comp.apply(spark.read.orc(*paths), filter_, list(columns) if columns is not None else None)
 
 
-def row_group(spark: SparkSession, path: str, index: int, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row group of a file, by the rows that its footer gives it."""
-    sizes = [g["rows"] for g in parquet_metadata(path)["row_groups"]]
-    if not 0 <= index < len(sizes):
+def row_group(spark: SparkSession, path: str | Sequence[str], index: int, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row group of a file, or that of each of some files which has so many, by the rows that the footers give it."""
+    paths, spans = [path] if isinstance(path, str) else list(path), []
+    for p in paths:
+        sizes = [g["rows"] for g in parquet_metadata(p)["row_groups"]]
+        if 0 <= index < len(sizes):
+            spans.append((p, sum(sizes[:index]), sum(sizes[: index + 1])))
+    if not spans:
         raise IndexError(index)
-    lo = sum(sizes[:index])
-    df = spark.read.parquet(path).filter((F.col("_metadata.row_index") >= lo) & (F.col("_metadata.row_index") < lo + sizes[index]))
+    df, row = spark.read.parquet(*[p for p, _, _ in spans]), F.col("_metadata.row_index")
+    if len(spans) == 1:
+        df = df.filter((row >= spans[0][1]) & (row < spans[0][2]))
+    else:
+        own = spark.createDataFrame([(posixpath.basename(p), lo, hi) for p, lo, hi in spans], "__name string, __lo long, __hi long")
+        df = df.select("*", F.col("_metadata.file_name").alias("__name"), row.alias("__row")).join(F.broadcast(own), "__name").filter("__row >= __lo and __row < __hi").drop("__name", "__row", "__lo", "__hi")
     return df.select(*columns) if columns else df
 
 
