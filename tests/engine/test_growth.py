@@ -4,8 +4,11 @@ import pytest
 
 from tarnlake.operators import fragtable, rows
 from tarnlake.operators.fragtable import FragmentTable
+from tarnlake.plans import catalog, catalog_tables
 from tarnlake.plans.expr import call, col, lit
 
+SF = "/root/testdata/sf0.001"
+
 
 def ids(df):
     return sorted(r[0] for r in df.collect())
@@ -36,3 +39,29 @@ def test_deleted_rows_join_as_words(spark, tmp_path, monkeypatch, most, join):
     assert t.count() == len(left) == len(set(left)) and set(left) <= {i for i in range(390) if i % 3 != 1} - {0, 63, 128}
     plan = t.read()._jdf.queryExecution().executedPlan().toString()
     assert join in plan and "__word" in plan and "SortMergeJoin" not in plan
+
+
+def answers(spark, name):
+    """Rows of a query and of its SQL over the smallest tables."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("customer", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    out, df = con.execute(catalog.ORACLE_SQL[name]), catalog.QUERIES[name](spark, SF)
+    names = [d[0] for d in out.description]
+    return sorted(map(repr, (tuple(r[c] for c in names) for r in df.collect()))), sorted(map(repr, out.fetchall()))
+
+
+@pytest.fixture
+def small_files(monkeypatch):
+    monkeypatch.setattr(catalog, "_built", {})
+    for module in (catalog, catalog_tables):
+        monkeypatch.setattr(module, "FILE_ROWS", 300, raising=False)
+
+
+@pytest.mark.parametrize("name", ["parquet_footers", "parquet_row_groups", "row_groups_by_bloom"])
+def test_row_groups_of_several_files(spark, small_files, name):
+    got, want = answers(spark, name)
+    assert got == want
+    assert len(list(catalog_tables.grouped_orders(spark, SF))) == 5 and catalog_tables.parquet_files(next(iter(catalog._built.values())))
