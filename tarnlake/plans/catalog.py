@@ -16,7 +16,7 @@ from tarnlake.operators import snaptable as sn
 from tarnlake.operators import transforms as tr
 from tarnlake.operators.fragtable import FragmentTable
 from tarnlake.operators.logtable import IDENTITY, LogTable
-from tarnlake.operators.storage import scratch
+from tarnlake.operators.storage import pieces, scratch
 from tarnlake.operators.zones import ZonedDataset
 from tarnlake.plans import compile as comp
 from tarnlake.plans.expr import Expr, all_of, any_of, call, col, lit
@@ -134,11 +134,11 @@ def function_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_lineitem(spark: SparkSession, sf_dir: str) -> LogTable:
-    """lineitem as a log table of sixteen files by ranges of l_orderkey."""
+    """lineitem as a log table of sixteen files, or more, by ranges of l_orderkey."""
 
     def build(path: str) -> None:
         df = table(spark, sf_dir, "lineitem")
-        LogTable.create(spark, path, df.schema).write(df.repartitionByRange(16, "l_orderkey"))
+        LogTable.create(spark, path, df.schema).write(df.repartitionByRange(pieces(df, 16, FILE_ROWS), "l_orderkey"))
 
     return LogTable.open(spark, built(spark, sf_dir, "log-lineitem", build))
 
@@ -195,7 +195,7 @@ def zone_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fresh_log(spark: SparkSession, df: DataFrame, files_: int = 4, key: str | None = None, **options) -> LogTable:
-    t = LogTable.create(spark, scratch(spark, "log"), df.schema, **options)
+    t, files_ = LogTable.create(spark, scratch(spark, "log"), df.schema, **options), pieces(df, files_, FILE_ROWS)
     t.write(df.repartitionByRange(files_, key) if key else df.repartition(files_))
     return t
 

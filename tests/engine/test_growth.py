@@ -3,6 +3,7 @@
 import pytest
 
 from tarnlake.operators import fragtable, rows
+from tarnlake.operators import stats as st
 from tarnlake.operators.fragtable import FragmentTable
 from tarnlake.plans import catalog, catalog_tables
 from tarnlake.plans.expr import call, col, lit
@@ -76,3 +77,25 @@ def test_indices_open_ranged_fragments(spark, monkeypatch):
     assert len(names) > 12
     got, want = answers(spark, "index_lookup_btree")
     assert got == want
+
+
+def test_bitmap_over_many_fragments(spark, monkeypatch):
+    monkeypatch.setattr(fragtable, "FRAGMENT_ROWS", 400)
+    monkeypatch.setattr(catalog, "_built", {})
+    got, want = answers(spark, "index_lookup_bitmap")
+    t = catalog.indexed_lineitem(spark, SF)
+    assert got == want and len(t.manifest.fragments) > 12
+    assert {r[0] for r in t.lookup("by_line", 6).collect()} <= {f.id for f in t.manifest.fragments}
+
+
+def test_log_table_grows_in_files(spark, small_files):
+    got, want = answers(spark, "prune_file_ranges")
+    assert got == want and len(catalog.log_lineitem(spark, SF).plan()) > 16
+
+
+def test_statistics_sort_no_rows(spark):
+    df = spark.range(100).selectExpr("id % 5 as k", "cast(id as string) as s", "id as v")
+    found = df.groupBy("k").agg(*st.aggregates(df.drop("k").schema))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    assert {(r["rows"], r["s"]["min"] <= r["s"]["max"], r["v"]["max"] - r["v"]["min"]) for r in found.collect()} == {(20, True, 95)}
