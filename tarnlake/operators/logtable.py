@@ -27,6 +27,7 @@ from tarnlake.plans import compile as comp
 from tarnlake.plans.expr import Expr
 from tarnlake.plans.prune import ColumnStats, can_match, decision
 from tarnlake.sources import roaring
+from tarnlake.sources.files import with_settings
 from tarnlake.sources.avro import open_fs
 
 LOG = "_delta_log"
@@ -538,7 +539,9 @@ class LogTable:
         (out.write.partitionBy(*parts) if parts else out.write).parquet(self.store.uri(folder))
         found = [e for e in self.store.walk(folder) if e.path.endswith(".parquet")]
         data = T.StructType([f for f in self._physical_schema(s).fields if f.name not in parts])
-        stats, values = self._stats(read_files(self.store, self.spark, [e.path for e in found], self._physical_schema(s), True), data, parts) if found else ({}, {})
+        # else each file of many is listed by a task of its own
+        listing = with_settings(self.spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": 8 * self.spark.sparkContext.defaultParallelism})
+        stats, values = self._stats(read_files(self.store, listing, [e.path for e in found], self._physical_schema(s), True), data, parts) if found else ({}, {})
         high = int(json.loads(s.domains.get("delta.rowTracking", '{"rowIdHighWaterMark": -1}'))["rowIdHighWaterMark"]) + 1
         adds = []
         for e in found:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 import threading
 import time
@@ -17,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: File systems whose rename is atomic and refuses a target that exists.
 RENAMES = frozenset({"hdfs", "viewfs", "webhdfs", "ofs", "o3fs", "abfs", "abfss"})
 
+#: Paths that are the same URI-encoded.
+PLAIN = re.compile(r"[A-Za-z0-9_.=/~-]+")
+
 
 class ConflictError(RuntimeError):
     """Somebody else committed first."""
@@ -106,6 +110,8 @@ class Store:
         """All files below rel."""
         if not self.exists(rel):
             return []
+        if self.local:
+            return self._walk_local(rel)
         out, found = [], self.fs.listFiles(self.at(rel), True)
         base = self.fs.makeQualified(self._path(unquote(self.root))).toUri().getRawPath().rstrip("/") + "/"
         while found.hasNext():
@@ -113,6 +119,19 @@ class Store:
             out.append(Entry(s.getPath().toUri().getRawPath().removeprefix(base), s.getLen(), s.getModificationTime()))
         return sorted(out, key=lambda e: e.path)
 
+    def _walk_local(self, rel: str) -> list[Entry]:
+        """The same without a JVM call for each file (Hadoop's listing of local files starts a process for each, to learn its permissions)."""
+        root, top, out = urlparse(self.root), self.at(rel).toUri().getPath(), []
+        base = unquote(root.path).rstrip("/") + "/"
+        for folder, _, names in os.walk(top, followlinks=True) if os.path.isdir(top) else [(os.path.dirname(top), [], [os.path.basename(top)])]:
+            for n in names:
+                if n.startswith(".") and n.endswith(".crc"):
+                    continue
+                whole = os.path.join(folder, n)
+                path, info = whole.removeprefix(base), os.stat(whole)
+                out.append(Entry(path if PLAIN.fullmatch(path) else self._path(whole).toUri().getRawPath().removeprefix(self._path(base).toUri().getRawPath().rstrip("/") + "/"), info.st_size, info.st_mtime_ns // 1_000_000))
+        return sorted(out, key=lambda e: e.path)
+
     def delete(self, rel: str) -> None:
         self.fs.delete(self.at(rel), True)
 

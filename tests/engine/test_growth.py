@@ -5,6 +5,7 @@ import pytest
 from tarnlake.operators import fragtable, rows
 from tarnlake.operators import stats as st
 from tarnlake.operators.fragtable import FragmentTable
+from tarnlake.operators.storage import Store
 from tarnlake.plans import catalog, catalog_tables
 from tarnlake.plans.expr import call, col, lit
 
@@ -99,3 +100,28 @@ def test_statistics_sort_no_rows(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
     assert {(r["rows"], r["s"]["min"] <= r["s"]["max"], r["v"]["max"] - r["v"]["min"]) for r in found.collect()} == {(20, True, 95)}
+
+
+def test_walk_of_local_files_asks_no_jvm(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/a b")
+    for name in ("data/g=1/x.parquet", "data/g=a%3Ab/y ü.parquet", "data/.x.crc", "data/_SUCCESS", "top"):
+        p = tmp_path / "a b" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(name)
+    for rel in ("", "data", "data/g=1", "top"):
+        store.local = False
+        want = store.walk(rel)
+        store.local = True
+        fs, store.fs = store.fs, NoListing(store.fs)
+        assert store.walk(rel) == want and want
+        store.fs = fs
+
+
+class NoListing:
+    def __init__(self, fs):
+        self._fs = fs
+
+    def __getattr__(self, name):
+        if name.startswith("list"):
+            raise AssertionError(name)
+        return getattr(self._fs, name)
