@@ -20,13 +20,16 @@ from tarnlake.operators import snaptable as sn
 from tarnlake.operators import transforms as tr
 from tarnlake.operators.fragtable import FragmentTable
 from tarnlake.operators.logtable import LogTable, ProtocolError
-from tarnlake.operators.storage import ConflictError, scratch
+from tarnlake.operators.storage import ConflictError, pieces, scratch
 from tarnlake.plans import compile as comp
 from tarnlake.plans.binding import bind
 from tarnlake.plans.catalog import FILE_ROWS, ORDERS, built, fresh_log, fresh_snapshots, query, table, tested, zoned_events
 from tarnlake.plans.expr import FALSE, TRUE, Expr, Lit, all_of, any_of, call, col, columns, lit, negate
 from tarnlake.sources import avro, avro_codec, files
 
+#: Ranges, about, into which a large table's Avro files are cut.
+RANGES = 1000
+
 # -- predicates --------------------------------------------------------------------------------------------------
 
 
@@ -523,11 +526,17 @@ def avro_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_shipdate FROM lineitem")
 def avro_splits_lz4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem in one file of many blocks, read by ranges of the file."""
+    """lineitem in files of many blocks, read by ranges of the files. A table of up to FILE_ROWS rows is one file; past RANGES ranges they grow, not their number."""
     names = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"]
-    path = built(spark, sf_dir, "avro-lineitem", lambda p: avro.write(table(spark, sf_dir, "lineitem").select(*names).coalesce(1), p, "lz4"))
+
+    def build(path: str) -> None:
+        df = table(spark, sf_dir, "lineitem").select(*names)
+        many = pieces(df, 1, FILE_ROWS)
+        avro.write(df.coalesce(1) if many == 1 else df.repartition(many), path, "lz4")
+
+    path = built(spark, sf_dir, "avro-lineitem", build)
     avro.register(spark)
-    return spark.read.format("avro_ocf").option("split", 100_000).load(path)
+    return spark.read.format("avro_ocf").option("split", max(100_000, sum(size for _, size in avro.sized(path)) // RANGES)).load(path)
 
 
 @query("SELECT r_regionkey, r_name, true AS known FROM region")

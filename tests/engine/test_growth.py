@@ -8,6 +8,7 @@ from tarnlake.operators.fragtable import FragmentTable
 from tarnlake.operators.storage import Store
 from tarnlake.plans import catalog, catalog_tables
 from tarnlake.plans.expr import call, col, lit
+from tarnlake.sources import avro
 
 SF = "/root/testdata/sf0.001"
 
@@ -125,3 +126,12 @@ class NoListing:
         if name.startswith("list"):
             raise AssertionError(name)
         return getattr(self._fs, name)
+
+
+def test_avro_files_grow_in_number(spark, small_files, monkeypatch):
+    monkeypatch.setattr(catalog_tables, "FILE_ROWS", 1000)
+    monkeypatch.setattr(catalog_tables, "RANGES", 7, raising=False)
+    got, want = answers(spark, "avro_splits_lz4")
+    assert got == want
+    found = avro.sized(next(iter(catalog._built.values())))
+    assert len(found) > 4
