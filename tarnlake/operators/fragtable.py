@@ -18,12 +18,14 @@ from pyspark.sql import types as T
 
 from tarnlake.functions.registry import DEFAULT, Registry
 from tarnlake.operators.rows import BATCH, PATH, ROW, Batches, changed_by, flagged, read_files, without
-from tarnlake.operators.storage import Store, now_ms, pieces
+from tarnlake.operators.storage import Store, now_ms, spread
 from tarnlake.plans import compile as comp
 from tarnlake.plans.expr import All, Any_, Compare, Const, Expr, In, Lit, Ref
 
 #: Rows that a fragment has, about, at most. More rows make more fragments, so that a task's share doesn't grow.
 FRAGMENT_ROWS = 1_000_000
+#: Partitions of up to so many fragments' rows are dealt out evenly, for which Spark sorts each; if one is larger, all are cut into fragments where they are.
+DEALT = 4
 VERSIONS = "_versions"
 
 
@@ -88,7 +90,7 @@ class FragmentTable:
         if table.versions():
             raise FileExistsError(path)
         empty = Manifest(0, 0, df.schema.json())
-        added, next_ = table._fragments(empty, df, pieces(df, fragments, FRAGMENT_ROWS), by)
+        added, next_ = table._fragments(empty, df, *spread(df), fragments, by)
         table._commit(empty, replace(empty, fragments=added, next_fragment=next_), "create")
         return table
 
@@ -104,12 +106,21 @@ class FragmentTable:
 
     # -- writing ------------------------------------------------------------------------------------------
 
-    def _fragments(self, m: Manifest, df: DataFrame, count: int, by: str | None = None) -> tuple[tuple[Fragment, ...], int]:
+    def _fragments(self, m: Manifest, df: DataFrame, n: int, most: int, least: int = 1, by: str | None = None) -> tuple[tuple[Fragment, ...], int]:
+        """Write df of n rows, about most of them in its largest partition. Fragments are dealt or ranged; those cut from large partitions can be more, by one for each partition."""
         schema = T.StructType.fromJson(json.loads(m.schema))
         if [(f.name, f.dataType) for f in df.schema.fields] != [(f.name, f.dataType) for f in schema.fields]:
             raise ValueError(f"schema {df.schema.simpleString()} isn't {schema.simpleString()}")
-        folder = f"data/{BATCH}={uuid.uuid4().hex}"
-        (df.repartitionByRange(count, by) if by else df.coalesce(1) if count == 1 else df.repartition(count)).write.parquet(self.store.uri(folder))
+        folder, count, cut = f"data/{BATCH}={uuid.uuid4().hex}", max(least, -(-n // FRAGMENT_ROWS)), {}
+        if by:
+            df = df.repartitionByRange(count, by)
+        elif count == 1:
+            df = df.coalesce(1)
+        elif most <= DEALT * FRAGMENT_ROWS:
+            df = df.repartition(count)
+        else:
+            cut = {"maxRecordsPerFile": -(-n // count)}
+        df.write.options(**cut).parquet(self.store.uri(folder))
         files = [e.path for e in self.store.walk(folder) if e.path.endswith(".parquet")]
         sizes = {r[PATH]: r["n"] for r in read_files(self.store, self.spark, files, schema, True).groupBy(PATH).agg(F.count("*").alias("n")).collect()} if files else {}
         own = [f for f in files if sizes.get(f)]
@@ -117,13 +128,13 @@ class FragmentTable:
 
     def append(self, df: DataFrame, fragments: int = 1) -> int:
         m = self.manifest
-        added, next_ = self._fragments(m, df, pieces(df, fragments, FRAGMENT_ROWS))
+        added, next_ = self._fragments(m, df, *spread(df), fragments)
         return self._commit(m, replace(m, fragments=m.fragments + added, next_fragment=next_), "append")
 
     def overwrite(self, df: DataFrame, fragments: int = 1) -> int:
         """Replace rows and schema; earlier versions stay readable."""
         m = replace(self.manifest, schema=df.schema.json())
-        added, next_ = self._fragments(m, df, pieces(df, fragments, FRAGMENT_ROWS))
+        added, next_ = self._fragments(m, df, *spread(df), fragments)
         return self._commit(self.manifest, replace(m, fragments=added, next_fragment=next_, indices={}), "overwrite")
 
     # -- reading ------------------------------------------------------------------------------------------
@@ -152,16 +163,18 @@ class FragmentTable:
 
     # -- mutation -----------------------------------------------------------------------------------------
 
-    def _tombstone(self, m: Manifest, rows: DataFrame) -> tuple[Manifest, int]:
-        """rows: path, row of live rows, each once. Each fragment's note holds all its deleted rows."""
+    def _tombstone(self, m: Manifest, rows: DataFrame) -> tuple[Manifest, int, int]:
+        """rows: path, row of live rows, each once. Each fragment's note holds all its deleted rows. Also returns how many are new, and how many of these one task found at most."""
         folder = f"deletions/{uuid.uuid4().hex}"
         rows.select("path", "row").write.parquet(self.store.uri(folder))
-        fresh = {r["path"]: r["n"] for r in self.spark.read.schema("path string, row long").parquet(self.store.uri(folder)).groupBy("path").agg(F.count("*").alias("n")).collect()}
+        noted = self.spark.read.schema("path string, row long").parquet(self.store.uri(folder))
+        fresh = {r["path"]: r["n"] for r in noted.groupBy("path").agg(F.count("*").alias("n")).collect()}
+        most = noted.groupBy("_metadata.file_name").count().agg(F.max("count")).first()[0] or 0  # a task notes in one file
         touched = [f for f in m.fragments if f.files[0] in fresh]
         if before := [f for f in touched if f.deletions]:
             self._deleted(before).write.mode("append").parquet(self.store.uri(folder))
         new = tuple(replace(f, deletions=folder, deleted=f.deleted + fresh[f.files[0]]) if f in touched else f for f in m.fragments)
-        return replace(m, fragments=new), sum(fresh.values())
+        return replace(m, fragments=new), sum(fresh.values()), most
 
     def delete_rows(self, offsets: Mapping[int, Sequence[int]]) -> int:
         """Delete by fragment and offset; returns how many rows that were live."""
@@ -189,7 +202,7 @@ class FragmentTable:
 
     def _delete(self, rows: DataFrame) -> int:
         m = self.manifest
-        new, n = self._tombstone(m, rows)
+        new, n, _ = self._tombstone(m, rows)
         if n:
             self._commit(m, new, "delete")
         return n
@@ -207,11 +220,11 @@ class FragmentTable:
         return self._replace(m, found, changed)
 
     def _replace(self, m: Manifest, found: DataFrame, changed: DataFrame) -> tuple[int, int]:
-        marked, n = self._tombstone(m, found.select(F.col(PATH).alias("path"), F.col(ROW).alias("row")))
+        marked, n, most = self._tombstone(m, found.select(F.col(PATH).alias("path"), F.col(ROW).alias("row")))
         if not n:
             return 0, m.version
         # one task writes a fragment, but many find its rows
-        added, next_ = self._fragments(m, changed.repartition(1) if n <= FRAGMENT_ROWS else changed, -(-n // FRAGMENT_ROWS))
+        added, next_ = self._fragments(m, changed.repartition(1) if n <= FRAGMENT_ROWS else changed, n, most)
         return n, self._commit(m, replace(marked, fragments=marked.fragments + added, next_fragment=next_), "update")
 
     def compact(self) -> int | None:
@@ -221,7 +234,8 @@ class FragmentTable:
         if not holed:
             return None
         n, rows = sum(f.rows - f.deleted for f in holed), self._rows(holed)
-        added, next_ = self._fragments(m, rows.repartition(1) if n <= FRAGMENT_ROWS else rows, -(-n // FRAGMENT_ROWS) or 1)
+        sizes = (n, n) if n <= DEALT * FRAGMENT_ROWS else spread(rows)
+        added, next_ = self._fragments(m, rows.repartition(1) if n <= FRAGMENT_ROWS else rows, *sizes)
         return self._commit(m, replace(m, fragments=tuple(f for f in m.fragments if not f.deleted) + added, next_fragment=next_, indices={}), "compact")
 
     def vacuum(self, keep: int = 1, dry_run: bool = False) -> list[str]:

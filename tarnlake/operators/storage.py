@@ -14,6 +14,7 @@ from urllib.parse import unquote, urlparse
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: File systems whose rename is atomic and refuses a target that exists.
 RENAMES = frozenset({"hdfs", "viewfs", "webhdfs", "ofs", "o3fs", "abfs", "abfss"})
@@ -186,6 +187,12 @@ def pieces(df: DataFrame, least: int, rows: int) -> int:
     return max(least, -(-df.count() // rows))
 
 
+def spread(df: DataFrame) -> tuple[int, int]:
+    """How many rows a frame has, and how many its largest partition has. Only counts are shuffled, one for each partition."""
+    n, most = df.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+    return n or 0, most or 0
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or, where that is unset, a local temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -29,6 +29,23 @@ def test_fragments_grow_in_number(spark, tmp_path, monkeypatch):
     assert len(t.manifest.fragments) > 9 and ids(t.read()) == [i for i in range(8, 125) if i % 4] + [1000 + i for i in range(8) if i % 4]
 
 
+def test_large_partitions_are_cut_not_dealt(spark, tmp_path, monkeypatch):
+    """Dealing sorts all rows of a task, which grow with the table; cutting them keeps their order and none in memory."""
+    monkeypatch.setattr(fragtable, "FRAGMENT_ROWS", 10)
+    t = FragmentTable.create(spark, str(tmp_path / "f"), spark.range(200).coalesce(1), 2)
+    t.append(spark.range(200, 295).coalesce(1), 19)
+    spans = [ids(spark.read.parquet(t.store.uri(f.files[0]))) for f in t.manifest.fragments]
+    assert sorted(map(len, spans)) == [5] * 19 + [10] * 20 and all(s == list(range(s[0], s[-1] + 1)) for s in spans)
+    t.delete(call("modulo", col("id"), 5).eq(0))
+    before = len(t.manifest.fragments)
+    n, _ = t.update(col("id").lt(250), {"id": call("add", col("id"), lit(1000))})
+    new = t.manifest.fragments[before:]
+    assert n == 200 == sum(f.rows for f in new) and max(f.rows for f in new) == 10
+    t.compact()
+    assert max(f.rows for f in t.manifest.fragments) <= 10
+    assert ids(t.read()) == [i for i in range(250, 295) if i % 5] + [1000 + i for i in range(250) if i % 5]
+
+
 @pytest.mark.parametrize(("most", "join"), [(0, "ShuffledHashJoin"), (1000, "BroadcastHashJoin")])
 def test_deleted_rows_join_as_words(spark, tmp_path, monkeypatch, most, join):
     monkeypatch.setattr(rows, "BROADCAST", most)
